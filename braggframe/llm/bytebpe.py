@@ -9,6 +9,7 @@ library whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -70,3 +71,9 @@ class ByteTokens:
             self.kept.update(fresh)
         odd = iter(self._ids(whole)) if whole else iter(())
         return [next(odd) if x is None else b"".join(x[0]) for x in lists]
+
+
+@lru_cache(1)
+def byte_tokens(path: str) -> ByteTokens:
+    """The memory of this worker, kept from task to task."""
+    return ByteTokens(path)

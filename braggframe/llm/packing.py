@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteTokens
+from .bytebpe import byte_tokens
 from .common import bounded_batches, column, ranked, stored, texts_of
 
 
@@ -59,7 +59,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenised(tokenizer: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ByteTokens(tokenizer)
+        tokens = byte_tokens(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
