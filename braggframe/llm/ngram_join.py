@@ -25,12 +25,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, column, components, drop_stored, small, stored
 from .shingles import bands_of, shingle_sets
 
-BANDS, ROWS = 12, 4
+BANDS, ROWS, BANDS_SHARED = 12, 4, 2
 CHUNK, QUERIES = 256, 2048
 #: Tokens of a chunk of documents among which recurring ones are counted.
 COUNTED = 4 << 20
@@ -95,14 +96,6 @@ def _prefixes(width: int, percent: int, late: np.ndarray) -> Callable[[Iterator[
     return run
 
 
-def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(column(batch, "text"), width)], pa.binary())], ["doc_id", "tokens"])
-
-    return run
-
-
 class _Opened:
     """A chunk of a group: the token union with the members of each entry."""
 
@@ -127,20 +120,20 @@ class _Opened:
         return int(self.docs[good].min()) if good.any() else None
 
 
-def _opening(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _opening(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by group, chunk, block and role: a chunk's members stand before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, opened, docs, sets = None, None, [], []
         for batch in batches:
             links = []
-            for *k, role, doc, tokens in zip(*(column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "role", "doc_id")), column(batch, "tokens"), strict=True):
-                s = np.frombuffer(tokens.as_buffer(), np.uint64)
+            keys = (column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "role", "doc_id"))
+            for *k, role, doc, s in zip(*keys, shingle_sets(column(batch, "text"), width), strict=True):
                 if k != key:
                     key, opened, docs, sets = k, None, [], []
                 if role == 0:
                     docs.append(doc)
-                    sets.append(s.copy())
+                    sets.append(s)
                     continue
                 opened = opened or (_Opened(docs, sets) if docs else None)
                 other = opened.link(doc, s, percent) if opened else None
@@ -159,8 +152,9 @@ def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, width
     q = queries.join(n, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
     rows = stored(m.unionByName(q), "ngram-rows")
     wanted = stored(rows.select("doc_id").distinct(), "ngram-wanted")
-    sets = texts.select("doc_id", "text").join(small(wanted, 16), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, tokens binary")
-    links = rows.join(sets, "doc_id").repartition("grp", "chunk", "block").sortWithinPartitions("grp", "chunk", "block", "role").mapInArrow(_opening(percent), "a long, b long")
+    # Texts travel rather than sets: they are smaller, and a set is made again in little time.
+    some = texts.join(small(wanted, 16), "doc_id", "left_semi").join(small(rows, 40), "doc_id")
+    links = some.repartition("grp", "chunk", "block").sortWithinPartitions("grp", "chunk", "block", "role").mapInArrow(_opening(width, percent), "a long, b long")
     out = stored(links.distinct(), "ngram-links")
     drop_stored(rows, wanted)
     return out
@@ -190,12 +184,12 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     rows = measured.where("n is not null")
     nodes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "bands"), "doc_id").alias("x")).select("sig", "x.*")
     nodes = stored(nodes, "ngram-nodes")
-    key = F.xxhash64("sig")
     own = stored(rows.where("sig is not null and doc_id is not null").select("doc_id", "sig").distinct().join(nodes.select("sig", F.col("doc_id").alias("node")), "sig").select("doc_id", "node").distinct(), "ngram-own")
-    del key
     buckets = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     firsts = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("grp"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = stored(buckets.join(firsts, ["band", "key"]).where("doc_id <> grp").select("doc_id", "grp").distinct(), "ngram-stars")
+    # Two shared bands make a similarity worth the check likely; what is missed here the prefixes find.
+    met = buckets.join(firsts, ["band", "key"]).where("doc_id <> grp").groupBy("doc_id", "grp").agg(F.count("*").alias("c"))
+    stars = stored(met.where(F.col("c") >= BANDS_SHARED).select("doc_id", "grp"), "ngram-stars")
     near = _open_groups(texts, stars, stars.select(F.col("grp").alias("doc_id"), "grp").distinct(), width, percent)
     groups = components(near)
 
@@ -204,8 +198,11 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     sizes = labelled.groupBy("grp").agg(F.count("*").alias("members"))
     labelled = stored(labelled.join(sizes, "grp").select("doc_id", "n", "grp", "members"), "ngram-labelled")
     prefixes = texts.mapInArrow(_prefixes(width, percent, late), "doc_id long, prefix array<long>")
-    entries = prefixes.join(small(labelled, 48), "doc_id").select("grp", "members", "doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.repartition("token")
+    entries = prefixes.join(small(labelled.select("doc_id").distinct(), 16), "doc_id", "left_semi").select("doc_id", F.posexplode("prefix").alias("pos", "token"))
+    over = W.partitionBy("token")
+    met = entries.withColumns({"_lo": F.min("doc_id").over(over), "_hi": F.max("doc_id").over(over)}).where("_lo < _hi").select("token", "doc_id", "pos")
+    met = stored(met, "ngram-met")
+    entries = met.join(small(labelled, 48), "doc_id")
     common = entries.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     shared = stored(entries.join(common, "token"), "ngram-shared")
     held = shared.groupBy("token", F.col("grp").alias("g"), F.col("members").alias("g_members")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
@@ -221,6 +218,6 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     links = stored(near.unionByName(more).unionByName(own.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "ngram-all")
     linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     found = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    drop_stored(nodes, own, stars, near, shared, queries, more, labelled)
+    drop_stored(nodes, own, stars, near, met, shared, queries, more, labelled)
     joined = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").join(linked, "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
