@@ -13,6 +13,7 @@ merged before the shuffle, so a line that a third of all documents share is one
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, drop_stored, ship_package, small, stored
@@ -21,6 +22,8 @@ from .common import WORD, drop_stored, ship_package, small, stored
 EDITS = 2
 #: Lines of fewer code points are compared for equality only: two edits would make strangers of them.
 MIN_NEAR = 20
+#: Characters after which the automaton of a pair is looked at.
+PROBED = 16
 
 
 def _with_keys(lines: DataFrame, edits: int) -> DataFrame:
@@ -65,13 +68,14 @@ def with_near(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     x, y = F.col(a), F.col(b)
     out = pairs.withColumn("_head", _common_prefix(x, y, F.least(F.length(x), F.length(y))))
     chars = lambda s: F.filter(F.split(F.substring(s, F.col("_head") + 1, F.length(s)), ""), lambda c: c != "")
-    out = out.withColumn("_x", chars(x)).withColumn("_y", chars(y))
+    out = out.withColumn("_x", chars(x)).withColumn("_y", chars(y)).withColumn("_gap", F.size("_x") - F.size("_y"))
 
-    def match(c: Column, j: Column) -> Column:
-        bits = [F.when(F.get("_x", j + d) == c, F.lit(1 << (d + edits))).otherwise(F.lit(0)) for d in range(-edits, edits + 1)]
-        return sum(bits[1:], bits[0])
+    def masks(part: Column, skipped: int) -> Column:
+        def match(c: Column, j: Column) -> Column:
+            bits = [F.when(F.get("_x", j + (skipped + d)) == c, F.lit(1 << (d + edits))).otherwise(F.lit(0)) for d in range(-edits, edits + 1)]
+            return sum(bits[1:], bits[0])
 
-    out = out.withColumn("_masks", F.transform("_y", match)).withColumn("_gap", F.size("_x") - F.size("_y"))
+        return F.transform(part, match)
 
     def step(state: Column, mask: Column) -> Column:
         made: list[Column] = []
@@ -83,10 +87,20 @@ def with_near(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
             made.append(new)
         return F.struct(*(m.alias(n) for m, n in zip(made, level, strict=True)))
 
+    # Most strangers are dead after a few characters; only what lives then is run to the end.
     start = F.struct(*(F.lit(((1 << (k + 1)) - 1) << edits & band).alias(n) for k, n in enumerate(level)))
-    out = out.withColumn("_end", F.when(F.abs("_gap") <= edits, F.aggregate("_masks", start, step)[level[-1]]))
+    out = out.withColumn("_m", F.when(F.abs("_gap") <= edits, masks(F.slice("_y", 1, PROBED), 0))).withColumn("_s", F.aggregate("_m", start, step))
+    alive = F.col("_s").isNotNull() & (F.col(f"_s.{level[-1]}") != 0)
+    out = out.withColumn("_m", F.when(alive, masks(F.slice("_y", PROBED + 1, F.greatest(F.size("_y"), F.lit(1))), PROBED)))
+    out = out.withColumn("_end", F.aggregate("_m", F.col("_s"), step)[level[-1]])
     near = F.call_function("shiftright", F.col("_end"), F.col("_gap") + edits).bitwiseAND(F.lit(1)) == 1
-    return out.withColumn("near", F.coalesce(near, F.lit(False))).drop("_head", "_x", "_y", "_masks", "_gap", "_end")
+    return out.withColumn("near", F.coalesce(near, F.lit(False))).drop("_head", "_x", "_y", "_gap", "_m", "_s", "_end")
+
+
+def _bag(line: Column) -> Column:
+    """How often a line holds each of 40 characters."""
+    kinds = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz0123456789.,- "))
+    return F.transform(kinds, lambda c: F.length(line) - F.length(F.replace(line, c)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -111,17 +125,21 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     # Of equal lines the first alone is indexed and probes; rows that share its place tie and are merged below.
     once = lines.where(F.col("length") >= MIN_NEAR).join(small(again, 48), ["h", "g"], "left").where(F.col("first").isNull() | (F.col("first") == place))
     keyed = _with_keys(once, edits)
-    rows = keyed.repartition("key")
-    # A segment that no other line shares finds nothing: only keys with two lines go on.
-    shared = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("indexed").alias("any")).where("lo < hi and any").select("key")
-    met = stored(rows.join(shared, "key").distinct(), "line-met")
-    i, p = met.where("indexed").alias("i"), met.alias("p")
+    # A segment that no other line shares finds nothing: only keys with two lines go on. One exchange by key.
+    over = W.partitionBy("key")
+    met = keyed.withColumns({"_lo": F.min("h").over(over), "_hi": F.max("h").over(over), "_any": F.max("indexed").over(over)}).where("_lo < _hi and _any").drop("_lo", "_hi", "_any")
+    met = stored(met.distinct(), "line-met")
+    wanted = stored(met.select("h", "g").distinct(), "line-wanted")
+    texts = stored(lines.join(small(wanted, 32), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line")).withColumn("bag", _bag(F.col("line"))), "line-texts")
+    bagged = met.join(texts.select("h", "g", "bag"), ["h", "g"])
+    i, p = bagged.where("indexed").alias("i"), bagged.alias("p")
     gap = F.col("p.length") - F.col("i.length")
-    pairs = i.join(p, F.col("i.key") == F.col("p.key")).where((gap >= 0) & (gap <= edits) & ((F.col("i.h") != F.col("p.h")) | (F.col("i.g") != F.col("p.g"))))
+    # An edit changes two counts of a bag by one at most, so bags further apart cannot be within the edits.
+    apart = F.aggregate(F.zip_with("i.bag", "p.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    other = (F.col("i.h") != F.col("p.h")) | (F.col("i.g") != F.col("p.g"))
+    pairs = i.join(p, (F.col("i.key") == F.col("p.key")) & (gap >= 0) & (gap <= edits) & other & (apart <= 2 * edits))
     pairs = stored(pairs.select(F.col("i.h").alias("h"), F.col("i.g").alias("g"), F.col("p.h").alias("h2"), F.col("p.g").alias("g2")).distinct(), "line-pairs")
-    wanted = stored(pairs.select("h", "g").union(pairs.select("h2", "g2")).distinct(), "line-wanted")
-    texts = stored(lines.join(small(wanted, 32), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line")), "line-texts")
-    both = pairs.join(texts.withColumnRenamed("line", "a"), ["h", "g"]).join(texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("b")), ["h2", "g2"])
+    both = pairs.join(texts.select("h", "g", F.col("line").alias("a")), ["h", "g"]).join(texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("b")), ["h2", "g2"])
     near = stored(with_near(both, "a", "b", edits).select("h", "g", "h2", "g2", "near"), "line-near")  # a filter before the write would copy the automaton into itself
     true = near.where("near").drop("near")
     either = true.union(true.select("h2", "g2", "h", "g"))
