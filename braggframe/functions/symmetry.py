@@ -323,7 +323,7 @@ def laue_class(group: Group) -> str:
 def asu_condition(group: Group):
     """The condition (h, k, l) -> bool of a reciprocal asymmetric unit for the group's Laue class, unique axis b or c."""
     laue = laue_class(group)
-    h31 = laue == "-3m" and any(o.rot == ((0, DEN, 0), (DEN, 0, 0), (0, 0, -DEN)) or o.rot == ((0, -DEN, 0), (-DEN, 0, 0), (0, 0, DEN)) for o in group.sym_ops)
+    h31 = laue == "-3m" and any(o.rot == ((0, -DEN, 0), (-DEN, 0, 0), (0, 0, -DEN)) for o in group.sym_ops)
     # Conventional half-, quarter- ... spaces of the Laue classes.
     rules = {
         "-1": lambda h, k, l: (l > 0) | ((l == 0) & ((h > 0) | ((h == 0) & (k >= 0)))),

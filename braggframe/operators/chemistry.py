@@ -67,7 +67,7 @@ def bond_distance(bonds: DataFrame, start: DataFrame, reach: int = 3) -> DataFra
 
 
 def rings_of(bonds: list[tuple[str, str]], largest: int = 8) -> list[tuple[str, ...]]:
-    """A shortest ring through each bond, without repeats, atoms in ring order from the least name."""
+    """A shortest ring through each bond, without repeats, atoms in ring order from the least name, on to its lesser neighbour."""
     graph: dict[str, set[str]] = defaultdict(set)
     for a, b in bonds:
         graph[a].add(b)
@@ -84,7 +84,8 @@ def rings_of(bonds: list[tuple[str, str]], largest: int = 8) -> list[tuple[str,
                 ring = (*path, b)
                 if len(ring) <= largest:
                     i = ring.index(min(ring))
-                    found.setdefault(frozenset(ring), ring[i:] + ring[:i])
+                    ring = ring[i:] + ring[:i]
+                    found.setdefault(frozenset(ring), ring if ring[1] < ring[-1] else ring[:1] + ring[:0:-1])
                 break
             for y in nexts:
                 seen.add(y)
