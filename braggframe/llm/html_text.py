@@ -24,6 +24,8 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Lists and tables are parts of an article, not its container.
+INNER = set("ul ol li dl dt dd table thead tbody tfoot tr td th".split())
 PARAGRAPH_ENDS = BLOCK - {"html", "body"}
 OUTSIDE = set("head nav header footer aside form script style noscript template textarea title button select option input label iframe object embed svg canvas audio video menu dialog noembed noframes xmp datalist".split())
 #: Words in a class or id, or a role, that mark what is not the article.
@@ -157,6 +159,8 @@ def _scored(blocks: list[tuple[_Node, str]]) -> dict[int, tuple[float, _Node]]:
             continue
         weight = (len(text) - 2 * min(len(text), box.linked)) * (1.0 if box.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "td", "dd") else 0.8)
         x = box.parent if box.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li") and box.parent else box
+        while x.tag in INNER and x.parent:
+            x = x.parent
         for share in (1.0, 0.5, 0.25):
             if x is None or x.tag in ("#", "html"):
                 break

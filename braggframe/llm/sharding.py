@@ -73,8 +73,11 @@ def vector_shards(docs: DataFrame, shards: int, keep: list[str], text: str = "te
         at += r.parts
     heavy_map = spark.createDataFrame(heavy_rows, T.StructType([T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType()), T.StructField("_to", T.ArrayType(T.IntegerType()))]))
     cell_map = spark.createDataFrame([(r.cell, s) for r, s in zip(cells, to[at:], strict=True)], "_cell int, _light int")
-    dealt = rows.join(F.broadcast(heavy_map), ["_a", "_b"], "left").withColumn("_cell", cell).join(F.broadcast(cell_map), "_cell", "left")
-    spread = F.get("_to", F.pmod(F.xxhash64(*names, F.lit(3)), F.size("_to")).cast("int"))
-    dealt = dealt.withColumn("shard", F.coalesce(spread, F.col("_light"))).select(*names, "size", "text_crc32", "shard")
+    columns = [*names, "size", "text_crc32"]
+    light = rows.join(F.broadcast(heavy_map), ["_a", "_b"], "left_anti").withColumn("_cell", cell).join(F.broadcast(cell_map), "_cell").select(*columns, F.col("_light").alias("shard"))
+    # The rows of a heavy group are dealt to its parts in turn, by exact rank.
+    dealt = ranked(rows.join(F.broadcast(heavy_map), ["_a", "_b"]), ["_a", "_b"], [F.col(n) for n in names], "_r")
+    dealt = dealt.select(*columns, F.get("_to", (F.col("_r") % F.size("_to")).cast("int")).alias("shard"))
+    dealt = stored(light.unionByName(dealt), "shard-dealt")
     out = ranked(dealt, ["shard"], [F.col(n) for n in names] + [F.col("text_crc32")], "slot")
     return out.select(*(F.col(n).alias(k) for k, n in zip(keep, names, strict=True)), "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
