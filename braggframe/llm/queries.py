@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, lines, media, ngram_join, packing, pieces, quality, sharding, warc
+from . import chat, html_text, lines, media, ngram_join, oracle, packing, pieces, quality, sharding, warc
 
 SHARDS = 24
 CAPACITY, END_ID = 1024, 2
@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_groups(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_groups(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_chat_format, op4_sharding, op5_sentencepiece, op6_best_fit, op7_html_extraction, op8_quality_rules, op9_warc, op10_media_columns)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracle.oracle_sql
