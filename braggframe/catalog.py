@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import values
+from .functions import numeric, values
 from .functions.cell import Cell
 from .functions.geometry import dihedral
 from .functions.symmetry import spacegroup
-from .operators import alignment, chemistry, cif_query, grid, model, reflections, selection, spatial
+from .operators import alignment, chemistry, cif_query, grid, model, reflections, selection, spatial, structure
+from .plans import composite
 from .session import ship_package
+from .sources import crystallography
 from .streaming import merging
 
 CELL = Cell(38.0, 44.0, 52.0)
@@ -535,6 +537,108 @@ def shells_and_total(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
 
 
+@query(f"select label, count(*) as n, round(corr(x, y), 6) as cc, round(corr(rx, ry), 6) as rank_cc from (select label, x, y, rank() over (partition by label order by x) + (count(*) over (partition by label, x) - 1) / 2.0 as rx, rank() over (partition by label order by y) + (count(*) over (partition by label, y) - 1) / 2.0 as ry from {PTS}) group by 1")
+def rank_correlation(spark, sf_dir):
+    r = structure.ranks(structure.ranks(points(spark, sf_dir), ["label"], "x", "rx"), ["label"], "y", "ry")
+    return r.groupBy("label").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("cc"), F.round(F.corr("rx", "ry"), 6).alias("rank_cc"))
+
+
+@query(f"""select count(*) as n_rows, count(distinct (h, k, l)) as unique_hkl, count(distinct case when h < 0 or (h = 0 and (k < 0 or (k = 0 and l < 0))) then (-h, -k, -l) else (h, k, l) end) as unique_mates, h % 2 = 0 as even,
+case when count(*) > count(distinct (h, k, l)) then 'Y' when count(distinct (h, k, l)) > count(distinct case when h < 0 or (h = 0 and (k < 0 or (k = 0 and l < 0))) then (-h, -k, -l) else (h, k, l) end) then 'F' else 'N' end as duplicates from {HKL} group by h % 2 = 0""")
+def reflection_statistics(spark, sf_dir):
+    return composite.reflection_statistics(hkls(spark, sf_dir).withColumn("even", F.col("h") % 2 == 0), ["even"])
+
+
+@query(f"select floor((h * h / pow(38.0, 2) + k * k / pow(44.0, 2) + l * l / pow(52.0, 2)) * 100)::int as shell, count(*) as n, round(avg(value / sigma), 6) as i_sigma from {HKL} where h <> 0 or k <> 0 or l <> 0 group by 1")
+def signal_to_noise(spark, sf_dir):
+    r = composite.signal(hkls(spark, sf_dir).where("h <> 0 or k <> 0 or l <> 0"), CELL)
+    return r.groupBy(F.floor(F.col("inv_d2") * 100).cast("int").alias("shell")).agg(F.count("*").alias("n"), F.round(F.avg("i_sigma"), 6).alias("i_sigma"))
+
+
+@query("select p_partkey, round(p_retailprice * 100 / 4 / (p_size * 1000), 6) as vm, round(100 * (1 - 1 / (1.35 * (p_retailprice * 100 / 4 / (p_size * 1000)) * 0.602214)), 4) as solvent_135 from part")
+def matthews_survey(spark, sf_dir):
+    e = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("volume"), (F.col("p_size") * 1000).alias("weight"), F.lit(4).alias("n_images"))
+    m = composite.matthews_survey(e)
+    return m.select("p_partkey", F.round("vm", 6).alias("vm"), F.round("solvent_135", 4).alias("solvent_135"))
+
+
+@query(f"select ah as h, ak as k, al as l, max(value) filter (isym % 2 = 1) as f_plus, max(value) filter (isym % 2 = 0) as f_minus from (select s.*, t.value from (select row_number() over () as i, * from ({_ASU})) s join (select row_number() over () as i, value from {HKL}) t using (i)) group by 1, 2, 3")
+def anomalous_columns(spark, sf_dir):
+    rows = hkls(spark, sf_dir).select("h", "k", "l", F.col("value").alias("f"), F.col("sigma").alias("sigf"))
+    return crystallography.anomalous_columns(rows, spacegroup(_P)).select("h", "k", "l", "f_plus", "f_minus")
+
+
+@query(f"""with r as (select 'H' as ss, c as chain, f as first, f + 12 as last from (values ('1'), ('2'), ('3')) x(c), (values (10), (60), (200)) y(f)) select a.serial as serial, r.ss as ss from {ATM} a left join r on a.chain = r.chain and a.seqnum between r.first and r.last""")
+def secondary_structure(spark, sf_dir):
+    ranges = spark.createDataFrame([(c, f, f + 12, "H") for c in "123" for f in (10, 60, 200)], "chain string, first int, last int, ss string")
+    return model.secondary_structure(atoms(spark, sf_dir), ranges).select("serial", "ss")
+
+
+@query(f"select serial from (select *, max(case when atom = 'CA' and element = 'C' then 1 else 0 end) over (partition by model, chain, res_ord) as ca from {ATM}) where ca = 0 or atom in ('N', 'CA', 'C', 'O', 'CB', 'OXT')")
+def trimmed_to_alanine(spark, sf_dir):
+    return model.trimmed_to_alanine(atoms(spark, sf_dir)).select("serial")
+
+
+@query(f"select serial, row_number() over (partition by model order by atom_ord) + 4 as new_serial from {ATM}")
+def renumbered(spark, sf_dir):
+    a = atoms(spark, sf_dir)
+    return model.serials(a, 5).select(F.col("atom_ord").cast("long").alias("serial"), F.col("serial").cast("long").alias("new_serial"))
+
+
+@query(f"select serial, chain || 'x' || case when resname = 'PRO' then 'p' else cast(dense_rank() over (partition by model, chain, resname = 'PRO' order by res_ord) as varchar) end as subchain from {ATM}")
+def subchains(spark, sf_dir):
+    return structure.subchains(model.entity_types(atoms(spark, sf_dir))).select("serial", "subchain")
+
+
+@query(f"select serial, least(greatest(b_iso, 40), 60) as b_iso from {ATM}")
+def clamped_b(spark, sf_dir):
+    return model.clamped(atoms(spark, sf_dir), "b_iso", 40.0, 60.0).select("serial", "b_iso")
+
+
+@query("""with t as (select l_linenumber as key, x, x * x as fp, lead(x) over (partition by l_linenumber order by x) as x1 from (select distinct l_linenumber, l_quantity - l_quantity % 10 as x from lineitem))
+select l_orderkey, l_linenumber, round(t.fp + (l_quantity - t.x) / (t.x1 - t.x) * (t.x1 * t.x1 - t.fp), 6) as fp from lineitem left join t on key = l_linenumber and l_quantity >= t.x and l_quantity < t.x1""")
+def interpolated_table(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    t = li.select("l_linenumber", (F.col("l_quantity") - F.col("l_quantity") % 10).alias("l_quantity")).distinct().withColumn("fp", F.col("l_quantity") * F.col("l_quantity"))
+    return rounded(numeric.interpolated_table(li, t, "l_linenumber", "l_quantity", ["fp"]).select("l_orderkey", "l_linenumber", "fp"), "fp")
+
+
+@query("select l_orderkey, l_linenumber, round(ln(cosh((l_quantity - 25) / 10)), 6) as log_cosh, round(exp(-l_quantity * l_tax), 6) as dw from lineitem")
+def special_functions(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.round(numeric.log_cosh((F.col("l_quantity") - 25) / 10), 6).alias("log_cosh"), F.round(numeric.debye_waller(F.col("l_quantity"), F.col("l_tax")), 6).alias("dw"))
+
+
+@query(f"select (a.value > 20)::int as first, (b.value > 20)::int as second, count(*) as n from {_GRID} a join {_GRID} b on b.u = (a.u + 1) % 16 and a.v = b.v and a.w = b.w group by 1, 2")
+def mask_confusion(spark, sf_dir):
+    g = _grid(spark, sf_dir).withColumn("value", (F.col("value") > 20).cast("double"))
+    return composite.mask_confusion(g, g.withColumn("u", (F.col("u") + 15) % 16))
+
+
+@query(f"select u, v, w, (u + 12) % 16 as i, (v + 2) % 16 as j, (w + 16) % 16 as k, value from {_GRID} where (u + 12) % 16 < 6 and (v + 2) % 16 < 5 and w < 4")
+def grid_subarray(spark, sf_dir):
+    return grid.subarray(_grid(spark, sf_dir), (4, -2, 0), (6, 5, 4), (16, 16, 16))
+
+
+@query()
+def solvent_mask(spark, sf_dir):
+    a = points(spark, sf_dir).withColumn("radius", F.lit(1.7))
+    return grid.solvent_mask(a, CELL, (38, 44, 52))
+
+
+@query()
+def model_density(spark, sf_dir):
+    a = points(spark, sf_dir).withColumns({"b_iso": F.lit(20.0), "z_number": F.lit(6.0)})
+    return rounded(grid.model_density(a, CELL, (38, 44, 52), 2.5), "value")
+
+
+@query()
+def crystal_contacts(spark, sf_dir):
+    a = points(spark, sf_dir).withColumns({"chain": F.lit("A"), "res_ord": F.col("serial").cast("int"), "atom_ord": F.col("serial").cast("int"), "altloc": F.lit("")})
+    pairs = spatial.crystal_neighbours(a, CELL, spacegroup(_P), 1.5)
+    return rounded(spatial.contacts(pairs.withColumn("image_2", F.col("image_2"))).select("serial", "serial_2", "image_2", "dist"), "dist")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
