@@ -201,3 +201,92 @@ def solvent_mask(atoms: DataFrame, cell: Cell, size: tuple[int, int, int], probe
     return solid.join(eaten, UVW, "left_anti")
 
 
+
+
+def tricubic(points: DataFrame, grid: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Adds value: tricubic (Catmull-Rom) interpolation at fractional fx, fy, fz over the 64 grid points around."""
+    p = points.withColumn("_id", F.monotonically_increasing_id())
+    for f, c, n in zip(("fx", "fy", "fz"), UVW, size, strict=True):
+        at = F.col(f) * n
+        p = p.withColumn(f"_{c}", F.floor(at).cast("int")).withColumn(f"_t{c}", at - F.floor(at))
+    offsets = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(UVW, (i - 1, j - 1, k - 1), strict=True))) for i in range(4) for j in range(4) for k in range(4)))
+    e = p.withColumn("_k", F.explode(offsets))
+    weight = F.lit(1.0)
+    for c, n in zip(UVW, size, strict=True):
+        e = e.withColumn(c, F.pmod(F.col(f"_{c}") + F.col(f"_k.{c}"), F.lit(n)).cast("int"))
+        t, o = F.col(f"_t{c}"), F.col(f"_k.{c}")
+        one = F.when(o == -1, ((-t + 2) * t - 1) * t / 2).when(o == 0, ((3 * t - 5) * t * t + 2) / 2).when(o == 1, ((-3 * t + 4) * t + 1) * t / 2).otherwise((t - 1) * t * t / 2)
+        weight = weight * one
+    j = e.withColumn("_weight", weight).join(grid.select(*UVW, F.col("value").alias("_value")), UVW)
+    return j.groupBy(*points.columns, "_id").agg(F.sum(F.col("_weight") * F.col("_value")).alias("value")).drop("_id")
+
+
+def nearest_values(points: DataFrame, grid: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Adds value of the nearest grid point, null where there is none."""
+    p = points.withColumns({c: F.pmod(F.floor(F.col(f) * n + 0.5), F.lit(n)).cast("int") for f, c, n in zip(("fx", "fy", "fz"), UVW, size, strict=True)})
+    return p.join(grid.select(*UVW, "value"), UVW, "left").drop(*UVW)
+
+
+def resampled(grid: DataFrame, size: tuple[int, int, int], new_size: tuple[int, int, int]) -> DataFrame:
+    """The grid of the same cell at another size, by trilinear interpolation."""
+    spark = grid.sparkSession
+    axis = lambda n, c: spark.range(n).select(F.col("id").cast("int").alias(c))
+    every = axis(new_size[0], "u").crossJoin(F.broadcast(axis(new_size[1], "v"))).crossJoin(F.broadcast(axis(new_size[2], "w")))
+    p = every.select(F.col("u").alias("_nu"), F.col("v").alias("_nv"), F.col("w").alias("_nw"), *((F.col(c) / n).alias(f) for c, n, f in zip(UVW, new_size, ("fx", "fy", "fz"), strict=True)))
+    return interpolated(p, grid, size).select(F.col("_nu").alias("u"), F.col("_nv").alias("v"), F.col("_nw").alias("w"), "value")
+
+
+def grid_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: correlation, slope and count over the common points of two grids."""
+    j = a.select(*UVW, F.col("value").alias("_a")).join(b.select(*UVW, F.col("value").alias("_b")), UVW)
+    return j.agg(F.corr("_a", "_b").alias("cc"), F.regr_slope("_b", "_a").alias("slope"), F.count("*").alias("n"))
+
+
+def soft_edge(mask: DataFrame, cell: Cell, size: tuple[int, int, int], width: float) -> DataFrame:
+    """A mask (points of value 1 only) with a cosine edge: other points within width fall from 1 to 0 by their distance to it."""
+    pos = cell.orthogonalized(*(F.col(c) / float(n) for c, n in zip(UVW, size, strict=True)))
+    at = mask.where("value >= 1").select(*(x.alias(c) for x, c in zip(pos, "xyz", strict=True)))
+    near = near_points(at, cell, size, width, width).groupBy(*UVW).agg(F.min("dist").alias("_d"))
+    return near.select(*UVW, (0.5 * (1 + F.cos(pi * F.col("_d") / width))).alias("value"))
+
+
+# A cube as six tetrahedra around the diagonal from corner 0 to corner 7; corner bits are u, v, w.
+_TETRAHEDRA = [(0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7)]
+
+
+def isosurface(grid: DataFrame, level: float, size: tuple[int, int, int], keys: list[str] = ()) -> DataFrame:
+    """Triangles (p1, p2, p3 of fractional x, y, z) of the surface at a level, by marching tetrahedra over the periodic cell.
+
+    Cubes are gathered by an equi-join of a point with its eight corners; each is solved by itself.
+    """
+    corner = F.array(*(F.struct(*(F.lit((i >> b) & 1).alias(c) for b, c in enumerate(UVW)), F.lit(i).alias("i")) for i in range(8)))
+    e = grid.withColumn("_k", F.explode(corner))
+    base = [F.pmod(F.col(c) - F.col(f"_k.{c}"), F.lit(n)).cast("int").alias(c) for c, n in zip(UVW, size, strict=True)]
+    cubes = e.select(*keys, *base, F.struct(F.col("_k.i").alias("i"), F.col("value").alias("value")).alias("c")).groupBy(*keys, *UVW).agg(F.sort_array(F.collect_list("c")).alias("c"), F.min("c.value").alias("lo"), F.max("c.value").alias("hi"))  # eight rows a cube
+    crossed = cubes.where((F.col("lo") < level) & (F.col("hi") >= level) & (F.size("c") == 8)).drop("lo", "hi")
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                values = [c["value"] for c in r.c]
+                origin = (r.u, r.v, r.w)
+                place = [tuple((origin[b] + ((i >> b) & 1)) / size[b] for b in range(3)) for i in range(8)]
+                for tet in _TETRAHEDRA:
+                    inside = [i for i in tet if values[i] >= level]
+                    outside = [i for i in tet if values[i] < level]
+                    cut = lambda a, b, values=values, place=place: [x + (y - x) * (level - values[a]) / (values[b] - values[a]) for x, y in zip(place[a], place[b], strict=True)]
+                    if len(inside) == 1 or len(outside) == 1:
+                        one, three = (inside[0], outside) if len(inside) == 1 else (outside[0], inside)
+                        triangles = [[cut(one, b) for b in three]]
+                    elif len(inside) == 2:
+                        (a, b), (c, d) = inside, outside
+                        q = [cut(a, c), cut(a, d), cut(b, d), cut(b, c)]
+                        triangles = [[q[0], q[1], q[2]], [q[0], q[2], q[3]]]
+                    else:
+                        triangles = []
+                    rows += [tuple(getattr(r, k) for k in keys) + tuple(t) for t in triangles]
+            yield pd.DataFrame(rows, columns=[*keys, "p1", "p2", "p3"])
+
+    types = ", ".join(f"`{k}` {dict(grid.dtypes)[k]}" for k in keys)
+    return crossed.mapInPandas(run, f"{types}{', ' if keys else ''}p1 array<double>, p2 array<double>, p3 array<double>")

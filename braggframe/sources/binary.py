@@ -219,3 +219,47 @@ def register(spark: SparkSession) -> None:
     ship_package(spark)
     spark.dataSource.register(MtzSource)
     spark.dataSource.register(Ccp4Source)
+
+
+def write_mtz(df: DataFrame, path: str, columns: list[tuple[str, str]], cell: list[float], spacegroup: str, number: int, symops: list[str]) -> int:
+    """Writes h, k, l and columns (name, type) as one MTZ file; rows are sorted by Spark and stream through one task. Returns their number.
+
+    The header stands at the end of such a file and its place at the start, so rows are counted first.
+    """
+    labels = [("H", "H"), ("K", "H"), ("L", "H"), *columns]
+    ordered = df.select("h", "k", "l", *(F.col(c).cast("float").alias(c) for c, _ in columns)).orderBy("h", "k", "l")
+    n = df.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template = mtz_bytes(labels, np.zeros((0, len(labels))), cell, spacegroup, number, symops)
+        at = 21 + n * len(labels)
+        fs, p = _file(path)
+        written = 0
+        with fs.open_output_stream(f"{p}.part") as f:
+            f.write((b"MTZ " + struct.pack("<i", at) + template[8:80])[:80])
+            for b in batches:
+                rows = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype("<f4") for i in range(b.num_columns)], axis=1)
+                f.write(rows.tobytes())
+                written += len(rows)
+            head = template[80:].decode("latin-1")
+            lines = [head[i : i + 80] for i in range(0, len(head), 80)]
+            lines[2] = f"NCOL {len(labels):8d} {n:12d} {0:8d}".ljust(80)
+            f.write("".join(lines).encode("latin-1"))
+        fs.move(f"{p}.part", p)
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
+
+    return ordered.coalesce(1).mapInArrow(run, "n long").first().n
+
+
+def xds_observations(data: DataFrame, group) -> DataFrame:
+    """XDS reflections in the layout of unmerged tables: asymmetric unit indices, M/ISYM, batch from the image number, I and sigma (misfits, of negative sigma, left out)."""
+    a = data.where("sigma > 0").withColumn("_a", group.to_asu(F.col("h"), F.col("k"), F.col("l")))
+    return a.select(*(F.col(f"_a.{c}").alias(c) for c in "hkl"), F.col("_a.isym").alias("isym"), F.floor(F.get("fields", F.lit(2))).cast("int").alias("batch"), F.col("iobs").alias("value"), "sigma")
+
+
+def full_cell_map(grid: DataFrame, group, size: tuple[int, int, int]) -> DataFrame:
+    """A map of an asymmetric unit expanded to the cell: the first operation's value wins where images meet."""
+    from ..operators.grid import grid_images
+
+    e = grid.select(F.col("value"), F.posexplode(grid_images(group, size)).alias("_op", "_p"))
+    return e.groupBy("_p.u", "_p.v", "_p.w").agg(F.min_by("value", "_op").alias("value"))
