@@ -15,7 +15,7 @@ from .functions import numeric, values
 from .functions.cell import Cell
 from .functions.geometry import dihedral
 from .functions.symmetry import spacegroup
-from .operators import alignment, chemistry, cif_query, grid, model, reflections, selection, spatial, structure
+from .operators import alignment, chemistry, cif_query, grid, model, reflections, scaling, selection, spatial, structure, topology
 from .plans import composite
 from .session import ship_package
 from .sources import crystallography
@@ -639,6 +639,134 @@ def crystal_contacts(spark, sf_dir):
     return rounded(spatial.contacts(pairs.withColumn("image_2", F.col("image_2"))).select("serial", "serial_2", "image_2", "dist"), "dist")
 
 
+# Line items as items of CIF loops: an order is a block, its lines are rows.
+
+
+def _loops(spark, sf_dir, single: bool = False) -> DataFrame:
+    """single: one row for each order and line number, which the supplied table repeats."""
+    li = table(spark, sf_dir, "lineitem")
+    if single:
+        li = li.groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_quantity", "l_returnflag", "l_shipdate")))
+    tags = ["id", "quantity", "flag", "ship"]
+    value = F.array(*(F.struct(F.lit(i).alias("col_idx"), F.lit(f"_line.{t}").alias("tag"), v.alias("value_raw")) for i, (t, v) in enumerate(zip(tags, (F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_returnflag") == "N", "?").otherwise(F.col("l_returnflag")), F.date_format("l_shipdate", "yyyy-MM-dd")), strict=True))))
+    return li.select(F.concat(F.lit("f"), (F.col("l_orderkey") % 10).cast("string")).alias("path"), F.col("l_orderkey").alias("block_idx"), F.col("l_orderkey").cast("string").alias("block"), F.lit(None).cast("string").alias("frame"), F.lit(0).alias("item_idx"), F.lit("loop").alias("kind"), F.lit("line").alias("category"), (F.col("l_linenumber") - 1).cast("int").alias("row_idx"), F.lit(1).alias("line_no"), F.inline(value))
+
+
+@query("select cast(l_orderkey as bigint) as block_idx, cast(l_linenumber - 1 as int) as row_idx, cast(l_linenumber as varchar) as id, cast(cast(l_quantity as int) as varchar) as quantity from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_returnflag) as l_returnflag from lineitem group by 1, 2)")
+def find_table(spark, sf_dir):
+    t = cif_query.find_table(_loops(spark, sf_dir, True), "_line.", ["id", "quantity", "?nothing"])
+    return t.select("block_idx", "row_idx", F.col("`_line.id`").alias("id"), F.col("`_line.quantity`").alias("quantity"))
+
+
+@query("select cast(l_orderkey as bigint) as block_idx, cast(l_linenumber - 1 as int) as row_idx, l_returnflag as flag, cast(cast(l_quantity as int) as varchar) as quantity from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity, max(l_returnflag) as l_returnflag from lineitem group by 1, 2) where l_returnflag <> 'N'")
+def grep_and(spark, sf_dir):
+    g = cif_query.grep_and(_loops(spark, sf_dir, True), "_line.flag", ["_line.quantity"])
+    return g.select("block_idx", "row_idx", F.col("`_line.flag`").alias("flag"), F.col("`_line.quantity`").alias("quantity"))
+
+
+@query("""with v as (select 'f' || (l_orderkey % 10) as path, l_orderkey as b, unnest([{'t': '_line.id', 'x': l_linenumber::double}, {'t': '_line.quantity', 'x': l_quantity}]) as u from lineitem), p as (select u.t as tag, path, b, count(*) as n, min(u.x) as x0, max(u.x) as x1 from v group by 1, 2, 3)
+select tag, count(*) as blocks, count(distinct path) as files, cast(sum(n) as bigint) as total, min(n) as min_count, round(avg(n), 6) as avg_count, max(n) as max_count, min(x0) as min_value, max(x1) as max_value from p group by tag""")
+def tag_statistics_of_loops(spark, sf_dir):
+    s = cif_query.tag_statistics(_loops(spark, sf_dir)).where("tag in ('_line.id', '_line.quantity')")
+    return rounded(s.select("tag", "blocks", "files", "total", "min_count", "avg_count", "max_count", "min_value", "max_value"), "avg_count")
+
+
+@query("""select cast(l_orderkey as bigint) as block_idx, tag, problem from (select l_orderkey, '_line.quantity' as tag, 'range' as problem from lineitem where not (l_quantity > 1 and l_quantity < 49) group by 1
+union all select l_orderkey, '_line.flag', 'enumeration' from lineitem where l_returnflag = 'A' group by 1 union all select l_orderkey, '_line.ship', 'unknown tag' from lineitem group by 1 union all select l_orderkey, '_line.id', 'type' from lineitem where l_linenumber > 5 group by 1)""")
+def check_values(spark, sf_dir):
+    rules = spark.createDataFrame([("_line.id", "[1-5]", None, None, None), ("_line.quantity", None, None, 1.0, 49.0), ("_line.flag", None, ["R"], None, None)], "tag string, type_regex string, enumeration array<string>, low double, high double")
+    return cif_query.check_values(_loops(spark, sf_dir), rules).select("block_idx", "tag", "problem")
+
+
+@query("select cast(block_idx as bigint) as block_idx, '_line.nothing' as tag from (select distinct l_orderkey as block_idx from lineitem)")
+def check_mandatory(spark, sf_dir):
+    rules = spark.createDataFrame([("_line.id", True), ("_line.nothing", True), ("_other.x", True)], "tag string, mandatory boolean")
+    return cif_query.check_mandatory(_loops(spark, sf_dir), rules).select("block_idx", "tag")
+
+
+@query("""with a as (select l_orderkey, l_linenumber, l_quantity::int as q from lineitem where l_linenumber <> 2), b as (select l_orderkey, l_linenumber, (case when l_quantity > 40 then 40 else l_quantity end)::int as q from lineitem where l_linenumber <> 3)
+select cast(coalesce(a.l_orderkey, b.l_orderkey) as varchar) as block, cast(coalesce(a.l_linenumber, b.l_linenumber) - 1 as int) as row_idx, cast(a.q as varchar) as v1, cast(b.q as varchar) as v2 from a full join b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber where a.q is distinct from b.q""")
+def differences(spark, sf_dir):
+    q = _loops(spark, sf_dir).where("tag = '_line.quantity'")
+    b = q.where("row_idx <> 2").withColumn("value_raw", F.least(F.col("value_raw").cast("int"), F.lit(40)).cast("string"))
+    return cif_query.differences(q.where("row_idx <> 1"), b).select("block", "row_idx", "v1", "v2")
+
+
+@query("select 'f' || (l_orderkey % 10) as path, count(*) as n from lineitem where l_returnflag <> 'N' group by 1")
+def grep_counts(spark, sf_dir):
+    return cif_query.grep(_loops(spark, sf_dir), "_line.flag").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("select path, cast(b as bigint) as block_idx, cast(row_idx as int) as row_idx, value_raw from (select 'f' || (l_orderkey % 10) as path, l_orderkey as b, l_linenumber - 1 as row_idx, cast(l_linenumber as varchar) as value_raw, row_number() over (partition by l_orderkey % 10 order by l_orderkey, l_linenumber) as r from lineitem) where r <= 5")
+def grep_max_count(spark, sf_dir):
+    return cif_query.grep(_loops(spark, sf_dir), "_line.id", max_per_file=5).select("path", "block_idx", "row_idx", "value_raw")
+
+
+@query("select count(*) as cubes from (select l_orderkey, count(*) as n from lineitem group by 1 having count(*) > 5)")
+def blocks_with_many(spark, sf_dir):
+    return composite.blocks_with_many(_loops(spark, sf_dir), "_line.id", 5).agg(F.count("*").alias("cubes"))
+
+
+@query(f"select round(corr(a.value, b.value), 6) as cc, round(regr_slope(b.value, a.value), 6) as slope, count(*) as n from {_GRID} a join {_GRID} b on b.u = (a.u + 1) % 16 and a.v = b.v and a.w = b.w")
+def grid_correlation(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return rounded(grid.grid_correlation(g, g.withColumn("u", (F.col("u") + 15) % 16)), "cc", "slope")
+
+
+@query(f"select a.serial as serial, b.serial as serial_2, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) as dist from {PTS} a join {PTS} b on a.serial < b.serial and pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) < 1.44 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.76 * 2 * 0.7")
+def possible_links(spark, sf_dir):
+    p = points(spark, sf_dir).withColumns({"resname": F.lit("X"), "atom": F.lit("C"), "element": F.lit("C")})
+    known = spark.createDataFrame([], "resname string, atom string, resname_2 string, atom_2 string, ideal double, link string")
+    pairs = spatial.neighbours(p, p, 1.2).where("serial < serial_2")
+    return rounded(structure.possible_links(pairs, known, radius_margin=0.7).select("serial", "serial_2", "dist"), "dist")
+
+
+@query("select o_orderkey, res_ord, round(value, 2) as value, round((value - 1000) / 50000, 6) as z from (select o_orderkey, o_custkey as res_ord, o_totalprice as value from orders) where abs((value - 1000) / 50000) > 3")
+def restraint_outliers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("res_ord"), F.col("o_totalprice").alias("value"), F.lit(1000.0).alias("ideal"), F.lit(50000.0).alias("esd"))
+    return rounded(rounded(topology.outliers(o, 3.0), "z"), "value", places=2).select("o_orderkey", "res_ord", "value", "z")
+
+
+@query("""with b as (select *, 1 as one from lineitem) select round(c[1], 4) as k, round(c[2], 6) as b from (select [exp(regr_intercept(ln(l_extendedprice / (l_quantity * 1500)), -0.25 * l_tax)), regr_slope(ln(l_extendedprice / (l_quantity * 1500)), -0.25 * l_tax)] as c from b where l_extendedprice > 1)""")
+def anisotropic_scale(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("fo"), (F.col("l_quantity") * 1500).alias("fc"), "l_tax")
+    r = scaling.anisotropic_scale(li, "fo", "fc", {"b": F.col("l_tax")})
+    return spark.createDataFrame([(round(r["k"], 4), round(r["b"], 6))], "k double, b double")
+
+
+@query()
+def isosurface(spark, sf_dir):
+    ship_package(spark)
+    return grid.isosurface(grid.normalized(_grid(spark, sf_dir)), 1.5, (16, 16, 16))
+
+
+@query()
+def moving_superposition(spark, sf_dir):
+    ship_package(spark)
+    p = points(spark, sf_dir).withColumn("chain", F.col("label").cast("string"))
+    pairs = p.select("chain", F.col("serial").alias("ord"), "x", "y", "z", F.col("y").alias("x_2"), F.col("z").alias("y_2"), F.col("x").alias("z_2")).where("chain is not null")
+    return rounded(structure.moving_superposition(pairs, 6.0), "rmsd")
+
+
+@query()
+def twin_laws(spark, sf_dir):
+    from .operators import lattice
+
+    rows = [(name, o.triplet("hkl")) for name, cell in (("tetragonal", Cell(5, 5, 7)), ("hexagonal", Cell(5, 5, 7, 90, 90, 120)), ("cubic", Cell(5, 5, 5))) for o in lattice.twin_laws(cell, spacegroup("P 1"))]
+    return spark.createDataFrame(rows, "lattice string, law string")
+
+
+@query()
+def spacegroups(spark, sf_dir):
+    from .functions.symmetry import SPACEGROUPS, crystal_system, laue_class, parse_hall
+
+    rows = []
+    for number, name, hall in SPACEGROUPS:
+        g = parse_hall(hall)
+        rows.append((number, name, hall, len(g.ops), len(g.centring), laue_class(g), crystal_system(number), g.centrosymmetric))
+    return spark.createDataFrame(rows, "number int, name string, hall string, n_ops int, n_centring int, laue string, system string, centrosymmetric boolean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
