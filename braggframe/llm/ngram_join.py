@@ -32,6 +32,8 @@ from .common import bounded_batches, column, components, drop_stored, small, sto
 from .shingles import bands_of, shingle_sets
 
 BANDS, ROWS, BANDS_SHARED = 12, 4, 2
+#: Nodes of a bucket that are put in order together.
+SALTED = 4096
 CHUNK, QUERIES = 256, 2048
 #: Tokens of a chunk of documents among which recurring ones are counted.
 COUNTED = 4 << 20
@@ -186,10 +188,14 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     nodes = stored(nodes, "ngram-nodes")
     own = stored(rows.where("sig is not null and doc_id is not null").select("doc_id", "sig").distinct().join(nodes.select("sig", F.col("doc_id").alias("node")), "sig").select("doc_id", "node").distinct(), "ngram-own")
     buckets = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    firsts = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("grp"), F.count("*").alias("c")).where("c > 1").drop("c")
-    # Two shared bands make a similarity worth the check likely; what is missed here the prefixes find.
-    met = buckets.join(firsts, ["band", "key"]).where("doc_id <> grp").groupBy("doc_id", "grp").agg(F.count("*").alias("c"))
-    stars = stored(met.where(F.col("c") >= BANDS_SHARED).select("doc_id", "grp"), "ngram-stars")
+    firsts = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("grp"), F.count("*").alias("c")).where("c > 1")
+    crowded = buckets.join(firsts.withColumn("salts", F.ceil(F.col("c") / SALTED).cast("int")).drop("c"), ["band", "key"])
+    # Two bands shared with a bucket's first make a similarity worth the check likely. In a family around the threshold
+    # the first is often too far, so each node is also held against the one before it. What both miss the prefixes find.
+    stars = crowded.where("doc_id <> grp").groupBy("doc_id", "grp").agg(F.count("*").alias("c")).where(F.col("c") >= BANDS_SHARED).drop("c")
+    before = F.lag("doc_id").over(W.partitionBy("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).orderBy("doc_id"))
+    chains = crowded.withColumn("grp", before).where("grp is not null and doc_id <> grp").select("doc_id", "grp")
+    stars = stored(stars.union(chains).distinct(), "ngram-stars")
     near = _open_groups(texts, stars, stars.select(F.col("grp").alias("doc_id"), "grp").distinct(), width, percent)
     groups = components(near)
 
@@ -205,8 +211,12 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     entries = met.join(small(labelled, 48), "doc_id")
     common = entries.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     shared = stored(entries.join(common, "token"), "ngram-shared")
-    held = shared.groupBy("token", F.col("grp").alias("g"), F.col("members").alias("g_members")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    meet = shared.join(held, "token").where((F.struct("members", "grp") < F.struct("g_members", "g")) & (F.col("n") * percent <= F.col("n_max") * 100) & (F.col("n_min") * percent <= F.col("n") * 100))
+    # Of a pair the smaller set (or either, if equal) has a common token in a shorter prefix: n - ceil(2t / (1 + t) * n) + 1.
+    n = F.col("n")
+    marked = shared.withColumn("early", F.col("pos") < n - F.ceil(n * (2 * percent) / (100 + percent) - 1e-6) + 1)
+    held = marked.groupBy("token", F.col("grp").alias("g"), F.col("members").alias("g_members")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max("early").alias("g_early"))
+    either = F.when(n > F.col("n_max"), F.col("g_early")).when(n < F.col("n_min"), F.col("early")).otherwise(F.col("early") | F.col("g_early"))
+    meet = marked.join(held, "token").where((F.struct("members", "grp") < F.struct("g_members", "g")) & (F.col("n") * percent <= F.col("n_max") * 100) & (F.col("n_min") * percent <= F.col("n") * 100) & either)
     pairs = meet.groupBy("doc_id", "n", F.col("g").alias("grp"), F.col("g_members").alias("of")).agg(F.count("*").alias("c"), F.max("pos").alias("last"), F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"))
     # Of one member, all tokens up to the last shared one are compared; the overlap is at most theirs and the rest.
     reach = F.col("c") + F.col("n") - F.col("last") - 1
