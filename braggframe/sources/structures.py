@@ -95,3 +95,41 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     second = F.substring_index(rest, "\n", 1)
     body = F.when(pir, F.expr("substring(substring(r, instr(r, '\n') + 1), instr(substring(r, instr(r, '\n') + 1), '\n') + 1)")).otherwise(rest)
     return records.select("path", "ord", F.when(pir, F.concat_ws(" ", first, second)).otherwise(first).alias("header"), F.regexp_replace(F.substring_index(body, "*", 1), r"\s", "").alias("seq"))
+
+
+def coordinate_format(path):
+    """Format of a coordinate file by its name, as a Column: pdb, mmcif, mmjson or unknown."""
+    p = F.regexp_replace(F.lower(path), r"\.gz$", "")
+    return F.when(p.rlike(r"\.(pdb|ent)$"), "pdb").when(p.rlike(r"\.(cif|mmcif)$"), "mmcif").when(p.rlike(r"\.(json|mmjson|js)$"), "mmjson").otherwise("unknown")
+
+
+def read_structure(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Atoms of one kind of files under a path; the kind is read off the path if not given."""
+    from .cif import read_cif
+
+    kind = kind or ("pdb" if path.lower().removesuffix(".gz").endswith((".pdb", ".ent")) else "mmcif")
+    return read_pdb(spark, path) if kind == "pdb" else atoms_from_cif(read_cif(spark, path))
+
+
+def remark_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Resolution and R values that PDB remarks state, a row a file."""
+    rows = _lines(spark, path).where("line like 'REMARK%'")
+    number = lambda p: F.max(F.regexp_extract("line", p, 1).try_cast("double"))
+    return rows.groupBy("path").agg(number(r"^REMARK   2 RESOLUTION\.\s+([\d.]+)").alias("resolution"), number(r"^REMARK   3   R VALUE\s+\(WORKING SET\)\s*:\s*([\d.]+)").alias("r_work"), number(r"^REMARK   3   FREE R VALUE\s*:\s*([\d.]+)").alias("r_free"))
+
+
+def secondary_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """HELIX and SHEET records as ranges (chain, first, last, ss) for operators.model.secondary_structure."""
+    rows = _lines(spark, path)
+    cut = lambda a, b: F.trim(F.substring(F.rpad("line", 80, " "), a, b - a + 1))
+    helix = rows.where("line like 'HELIX%'").select("path", cut(20, 20).alias("chain"), cut(22, 25).try_cast("int").alias("first"), cut(34, 37).try_cast("int").alias("last"), F.lit("H").alias("ss"))
+    sheet = rows.where("line like 'SHEET%'").select("path", cut(22, 22).alias("chain"), cut(23, 26).try_cast("int").alias("first"), cut(34, 37).try_cast("int").alias("last"), F.lit("E").alias("ss"))
+    return helix.unionByName(sheet)
+
+
+def sequence_records(spark: SparkSession, path: str) -> DataFrame:
+    """SEQRES as a list of residue names a chain."""
+    rows = _lines(spark, path).where("line like 'SEQRES%'")
+    names = F.filter(F.split(F.trim(F.substring("line", 20, 51)), r"\s+"), lambda x: x != "")
+    r = rows.select("path", F.trim(F.substring("line", 12, 1)).alias("chain"), "line_no", names.alias("names"))
+    return r.groupBy("path", "chain").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "names"))), lambda x: x["names"])).alias("names"))
