@@ -33,7 +33,11 @@ NOT_MAIN = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottom sidebar side rail aside widget "
     "comment comments disqus reply replies respond cookie cookies consent gdpr notice alert popup modal overlay subscribe newsletter signup login share sharing social related recommended recommendations pagination pager tags toolbar search".split()
 )
-MAIN = set("article main content post entry story body text page".split())
+#: Of these, what stands beside a word for the article may be part of it.
+WEAK = set("bottom side widget search rail tags toolbar alert reply replies respond".split())
+MAIN = set("article main content post entry story".split())
+#: A class that says that a page has or lacks something is no sign of it.
+ABOUT = {"has", "with", "no", "without", "is", "not"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 #: Containers of a page that vote.
 VOTERS = 3
@@ -59,7 +63,9 @@ def _made(tag: str, attributes: str, parent: _Node | None) -> _Node:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), html.unescape(value.strip("\"'"))
             if key in ("class", "id"):
-                marks += _words(value)
+                for token in value.split():
+                    words = _words(token)
+                    marks += words if words and words[0] not in ABOUT else []
                 if key == "class":
                     names += value.lower().split()
             elif key == "role":
@@ -67,7 +73,8 @@ def _made(tag: str, attributes: str, parent: _Node | None) -> _Node:
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 hidden = True
     if tag not in ("html", "body", "main", "article"):
-        out = out or hidden or (not NOT_MAIN.isdisjoint(marks) and (MAIN.isdisjoint(marks) or not {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "menu"}.isdisjoint(marks)))
+        signs = NOT_MAIN.intersection(marks)
+        out = out or hidden or bool(signs - WEAK) or bool(signs and MAIN.isdisjoint(marks))
     step = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})])
     return _Node(tag, step, parent, out or (parent.out if parent else False))
 

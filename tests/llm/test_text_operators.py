@@ -376,6 +376,7 @@ HTML = {
     "<article><ul><li>a<li>b</ul><div class='ad'>buy</div><table><tr><td>c<td>d</table></article>": "a b c d",
     "<article>a&nbsp;b &eacute; <!-- <p>no</p> --> c < d</article>": "a b é c < d",
     "<article><p hidden>no</p><p style='display:none'>no</p><p>yes</p>": "yes",
+    "<div class='page-header'>X</div><div class='content has-sidebar'><div class='post-comments'>no</div><p>body words</p><div id='main-nav'>n</div></div>": "body words",
     "<div class='cookie-notice'>ok?</div><div><p>main words</p></div>": "main words",
 }
 
