@@ -216,9 +216,11 @@ def ccp4_bytes(grid: np.ndarray, cell: list[float], spacegroup: int = 1) -> byte
 def register(spark: SparkSession) -> None:
     from ..session import ship_package
 
+    from .cif import CifSource
+
     ship_package(spark)
-    spark.dataSource.register(MtzSource)
-    spark.dataSource.register(Ccp4Source)
+    for source in (MtzSource, Ccp4Source, CifSource):
+        spark.dataSource.register(source)
 
 
 def write_mtz(df: DataFrame, path: str, columns: list[tuple[str, str]], cell: list[float], spacegroup: str, number: int, symops: list[str]) -> int:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ITEMS = (
     "path string, block_idx int, block string, frame string, item_idx int, kind string, category string, tag string, "
@@ -101,29 +102,86 @@ def parse_cif(text: str, one_block: bool = False) -> Iterator[tuple]:
             raise CifError(f"unexpected {t[:20]}", line)
 
 
+def _file_items(path: str, content: bytes, one_block: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of a file's items; a file that does not parse ends with a row that says why."""
+    names = [x.strip().split(" ")[0] for x in ITEMS.split(",")]
+    kinds = [pa.int32() if x.strip().endswith(" int") else pa.string() for x in ITEMS.split(",")]
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    try:
+        text = (gzip.decompress(content) if path.endswith(".gz") else content).decode("utf-8", "replace")
+        for row in parse_cif(text, one_block):
+            rows.append((path, *row, None))
+            if len(rows) == 50_000:
+                yield batch()
+                rows = []
+    except CifError as e:
+        rows.append((path, *[None] * 10, e.line, str(e)))
+    except (OSError, EOFError) as e:
+        rows.append((path, *[None] * 10, None, str(e)))
+    if rows:
+        yield batch()
+
+
 def _items(one_block: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.strip().split(" ")[0] for x in ITEMS.split(",")]
-        kinds = [pa.int32() if x.strip().endswith(" int") else pa.string() for x in ITEMS.split(",")]
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if path.endswith(".gz"):
-                    content = gzip.decompress(content)
-                rows: list[tuple] = []
-                try:
-                    for row in parse_cif(content.decode("utf-8", "replace"), one_block):
-                        rows.append((path, *row, None))
-                        if len(rows) == 50_000:
-                            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-                            rows = []
-                except CifError as e:
-                    rows.append((path, *[None] * 10, e.line, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                yield from _file_items(path, content, one_block)
 
     return run
 
 
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class CifSource(DataSource):
+    """spark.read.format("cif").load(folder or file). Options: oneBlock, pathGlob. A file is a partition."""
+
+    @classmethod
+    def name(cls):
+        return "cif"
+
+    def schema(self):
+        return ITEMS
+
+    def reader(self, schema):
+        return _CifReader(self.options)
+
+
+class _CifReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.one = options["path"], options.get("oneBlock", "false").lower() == "true"
+        self.glob = options.get("pathGlob", "*.cif*")
+
+    def partitions(self):
+        import fnmatch
+        import posixpath
+
+        import pyarrow.fs as pafs
+
+        from .binary import _file
+
+        fs, root = _file(self.path)
+        if fs.get_file_info(root).type == pafs.FileType.File:
+            return [_File(root)]
+        found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and fnmatch.fnmatch(posixpath.basename(f.path), self.glob))
+        return [_File(p) for p in found] or [_File("")]
+
+    def read(self, partition):
+        from .binary import _file
+
+        if partition.path:
+            fs, _ = _file(self.path)
+            with fs.open_input_file(partition.path) as f:
+                yield from _file_items(partition.path, f.read(), self.one)
+
+
 def read_cif(spark: SparkSession, path: str, one_block: bool = False, glob: str = "*.cif*", recursive: bool = True) -> DataFrame:
     """Items of the CIF files (gzipped too) under a path."""
     from ..session import ship_package

@@ -33,6 +33,38 @@ def reflections(items: DataFrame, unmerged: bool = False) -> DataFrame:
     return out
 
 
+def core_reflections(items: DataFrame) -> DataFrame:
+    """Reflections of small-molecule hkl CIF files: h, k, l, observed and calculated F squared, sigma."""
+    tags = {"h": "_refln_index_h", "k": "_refln_index_k", "l": "_refln_index_l", "f2_meas": "_refln_f_squared_meas", "f2_sigma": "_refln_f_squared_sigma", "f2_calc": "_refln_f_squared_calc"}
+    t = items.where(F.lower("tag").isin(list(tags.values()))).groupBy(*BLOCK, "row_idx").agg(*(F.max(F.when(F.lower("tag") == v, F.col("value_raw"))).alias(k) for k, v in tags.items()))
+    return t.select(*BLOCK, "row_idx", *((cif_int if k in "hkl" else cif_number)(F.col(k)).alias(k) for k in tags))
+
+
+# A column of SF-mmCIF, its MTZ label and type; a label that is taken passes on to the next.
+TO_MTZ = [("free_flag", "FreeR_flag", "I"), ("fp", "FP", "F"), ("sigfp", "SIGFP", "Q"), ("i", "I", "J"), ("sigi", "SIGI", "Q"), ("f_plus", "F(+)", "G"), ("sigf_plus", "SIGF(+)", "L"), ("f_minus", "F(-)", "G"), ("sigf_minus", "SIGF(-)", "L"), ("fc", "FC", "F"), ("phic", "PHIC", "P"), ("fwt", "FWT", "F"), ("phwt", "PHWT", "P"), ("fom", "FOM", "W"), ("hla", "HLA", "A"), ("hlb", "HLB", "A"), ("hlc", "HLC", "A"), ("hld", "HLD", "A")]
+
+
+def mtz_columns(rows: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Reflections with MTZ labels, and the labels with their types: those of the columns that hold a value."""
+    there = [(c, label, kind) for c, label, kind in TO_MTZ if c in rows.columns]
+    filled = rows.agg(*(F.count(c).alias(c) for c, _, _ in there)).first()
+    kept = [(c, label, kind) for c, label, kind in there if filled[c]]
+    return rows.select("h", "k", "l", *(F.col(c).alias(label) for c, label, _ in kept)), [(label, kind) for _, label, kind in kept]
+
+
+def deposition_problems(rows: DataFrame) -> list[str]:
+    """What a reflection table lacks for a deposition: amplitudes or intensities with sigmas, free flags, positive sigmas."""
+    c, out = set(rows.columns), []
+    if not ({"fp", "sigfp"} <= c or {"i", "sigi"} <= c or {"f_plus", "f_minus"} <= c):
+        out.append("no amplitudes or intensities with sigmas")
+    if "free_flag" not in c:
+        out.append("no free flags")
+    for s in ("sigfp", "sigi"):
+        if s in c and rows.where(F.col(s) <= 0).limit(1).count():
+            out.append(f"{s} is not positive everywhere")
+    return out
+
+
 def block_cells(items: DataFrame) -> DataFrame:
     """Cell and space group of each block; blocks that lack them take the file's first known ones."""
     names = ["length_a", "length_b", "length_c", "angle_alpha", "angle_beta", "angle_gamma"]

@@ -7,7 +7,7 @@ from braggframe.functions.cell import Cell
 from braggframe.functions.symmetry import parse_triplet, spacegroup
 from braggframe.operators import lattice, model, scaling, spatial, structure
 from braggframe.plans import composite
-from braggframe.sources import cif, crystallography
+from braggframe.sources import binary, cif, crystallography
 
 
 def test_special_functions(spark):
@@ -233,6 +233,13 @@ def test_domain_tables(spark, tmp_path):
     rule = crystallography.dictionary_rules(d).first()
     assert (rule.tag, rule.type_regex, rule.low, rule.high, rule.mandatory) == ("_a.x", "[+-]?[0-9]+", 1.0, 5.0, True)
     assert [tuple(p) for p in crystallography.dictionary_parents(d).collect()] == [("_a.x", "_b.x")]
+    binary.register(spark)
+    source = spark.read.format("cif").load(str(tmp_path / "sf"))
+    assert source.drop("path").exceptAll(items.drop("path")).count() == 0 and source.count() == items.count()
+    assert spark.read.format("cif").option("oneBlock", "true").load(str(tmp_path / "sf" / "sf.cif")).where("block = 'r2'").count() == 0
+    mtz, labels = crystallography.mtz_columns(crystallography.reflections(items))
+    assert labels == [("FreeR_flag", "I"), ("FP", "F"), ("SIGFP", "Q"), ("F(+)", "G")] and mtz.count() == 3
+    assert crystallography.deposition_problems(crystallography.reflections(items)) == []
     assert {w.kind for w in crystallography.walk(spark, str(tmp_path)).collect()} == {"cif"}
 
 
