@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -37,8 +38,23 @@ def storage(spark: SparkSession) -> str:
     return _fallback["dir"]
 
 
+_made: list[str] = []
+
+
+def _clear() -> None:
+    """Removes this application's tables from the shared folder when the driver ends."""
+    spark = SparkSession.getActiveSession() if _made else None
+    for path in _made if spark else ():
+        with contextlib.suppress(Exception):  # the JVM may have gone first; the tables are only left-overs
+            remove(spark, path)
+
+
+atexit.register(_clear)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{storage(spark)}/braggframe/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{storage(spark)}/braggframe/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:

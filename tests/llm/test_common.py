@@ -13,5 +13,6 @@ def test_ranks_are_gapless_across_parts(spark):
     assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 1000
 
 
-def test_storage_is_shared_folder(spark):
-    assert storage(spark).startswith("file:")
+def test_storage_is_the_configured_folder(spark):
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert storage(spark) == folder.rstrip("/") if folder else storage(spark).startswith("file:")
