@@ -16,7 +16,7 @@ import numpy as np
 import tiktoken
 
 #: About so many chunks are kept; later ones are encoded anew.
-KEPT = 600_000
+KEPT = 200_000
 _ODD = ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B)))
 BLANK = (" ", "\n")
 MARKS = ".,;:!?"
@@ -58,7 +58,7 @@ class ByteTokens:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], slice_chars: int = 1 << 20) -> Iterator[bytes]:
+    def encode(self, texts: list[str], slice_chars: int = 1 << 18) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         i = 0
         while i < len(texts):

@@ -18,7 +18,7 @@ from ..session import ship_package
 #: A side of a join is broadcast only below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 #: Rows and bytes of an Arrow batch sent to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: The white space that ends a word: space and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"

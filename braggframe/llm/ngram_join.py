@@ -36,7 +36,7 @@ BANDS, ROWS, BANDS_SHARED = 12, 4, 2
 SALTED = 4096
 CHUNK, QUERIES = 256, 2048
 #: Tokens of a chunk of documents among which recurring ones are counted.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 #: At most so many recurring tokens are put last in the order, the most frequent ones.
 LATE, LATE_FROM = 1 << 18, 8
 _SET = "doc_id long, n long, sig binary, bands array<long>, tokens array<long>, counts array<long>"

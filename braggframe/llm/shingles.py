@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from .common import BLANKS, mixed, text_bytes
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
