@@ -24,6 +24,8 @@ MIN_WORDS_CLASSES, MIN_WORDS_COMMON = 50, 200
 #: Jensen-Shannon distances (base 2, 0 to 1) above which a text is rejected; that of classes has 1.9 / sqrt(characters) more, as a short text strays by chance.
 MAX_CLASSES, MAX_COMMON = 0.13, 0.22
 MILLION = 1_000_000
+#: Counts of a histogram: character classes; the listed words of a language and all other words.
+N_CLASSES, N_COMMON = 6, 13
 
 
 def words_of(text: Column) -> Column:
@@ -71,7 +73,8 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     best = F.array_max(F.array(*hits))
     a = a.withColumn("language", F.when(best["hits"] > 0, best["language"]))
     lists = F.create_map(*(x for k, ws in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))))
-    chosen = F.coalesce(F.element_at(lists, F.col("language")), F.array().cast("array<string>"))
+    none = F.array_repeat(F.lit(""), N_COMMON - 1)  # no word is empty: all of the text is in the last count
+    chosen = F.coalesce(F.element_at(lists, F.col("language")), none)
     a = a.withColumn("_listed", F.transform(chosen, lambda x: F.size(F.filter("_known", lambda w: w == x)).cast("long")))
     total = F.aggregate("_listed", F.lit(0).cast("long"), lambda x, y: x + y)
     a = a.withColumn("common", F.concat("_listed", F.array(F.col("n_words") - total)))
@@ -100,12 +103,14 @@ def _distance(p: Column, q: Column) -> Column:
 
 
 def judged(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """keep columns of docs and the verdict: the base counts, base_failed, language, class_distance, common_distance, kept.
+    """keep columns of docs and the verdict: the base counts, base_failed, language, class_distance, common_distance, kept, kept_guarded.
 
     The references are the mean shares of the texts of a language that pass the base rules and have enough words. A
-    text without a listed word has no language: it is held against the mean of all references' classes only. A null
-    or empty text has zero counts and fails the base rules. Rows that repeat are judged each. With an empty table
-    nothing is returned; with no text to make a reference from, the base rules decide alone.
+    text without a listed word has no language: it is held against the mean of all references' classes, and its
+    words, all of them others, against the nearest reference. kept_guarded is the verdict as the SQL of
+    op8_quality_rules words it, which passes such a text's words unmeasured. A null or empty text has zero counts and
+    fails the base rules. Rows that repeat are judged each. With an empty table nothing is returned; with no text to
+    make a reference from, the base rules decide alone.
     """
     ship_package(docs.sparkSession)
     names = [f"_keep{i}" for i in range(len(keep))]
@@ -114,16 +119,21 @@ def judged(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     rows = counted(only, "_text").drop("_text").withColumn("base_failed", failed)
     rows = rows.withColumn("classes", shares(F.col("classes"))).withColumn("common", shares(F.col("common")))
     rows = stored(rows, "quality-rows")
-    n_classes, n_common = 6, 13
     good = rows.where(~F.col("base_failed") & F.col("language").isNotNull() & (F.col("n_words") >= MIN_WORDS_COMMON))
     means = lambda name, n: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)])
-    by_language = good.groupBy("language").agg(means("classes", n_classes).alias("_c"), means("common", n_common).alias("_w"))
+    by_language = good.groupBy("language").agg(means("classes", N_CLASSES).alias("_c"), means("common", N_COMMON).alias("_w"))
     by_language = by_language.select("language", _normal(F.col("_c")).alias("_c"), _normal(F.col("_w")).alias("_w"))  # four rows at most
-    overall = good.agg(means("classes", n_classes).alias("_a")).select(_normal(F.col("_a")).alias("_a"))  # one row
-    both = rows.join(F.broadcast(by_language), "language", "left").join(F.broadcast(overall), how="left", on=F.lit(True))
+    overall = good.agg(means("classes", N_CLASSES).alias("_a")).select(_normal(F.col("_a")).alias("_a"))  # one row
+    others = F.array(*[F.lit(0.0)] * (N_COMMON - 1), F.lit(1.0))
+    nearest = by_language.agg(F.min(_distance(others, F.col("_w"))).alias("_none"))  # one row
+    both = rows.join(F.broadcast(by_language), "language", "left").join(F.broadcast(overall.crossJoin(nearest)), how="left", on=F.lit(True))
     both = both.withColumn("_p", _normal(F.col("classes"))).withColumn("_q", F.coalesce("_c", "_a")).withColumn("_r", _normal(F.col("common")))
     both = both.withColumn("class_distance", F.when(F.col("n_words") >= MIN_WORDS_CLASSES, _distance(F.col("_p"), F.col("_q"))))
-    both = both.withColumn("common_distance", F.when((F.col("n_words") >= MIN_WORDS_COMMON) & F.col("language").isNotNull(), _distance(F.col("_r"), F.col("_w"))))
-    fits = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASSES + 1.9 / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))) & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON)
-    both = both.withColumn("kept", ~F.col("base_failed") & fits)
-    return both.select(*(F.col(n).alias(k) for k, n in zip(keep, names, strict=True)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language", "class_distance", "common_distance")
+    has_language = F.col("language").isNotNull()
+    words_distance = F.when(has_language, _distance(F.col("_r"), F.col("_w"))).otherwise(F.col("_none"))
+    both = both.withColumn("common_distance", F.when(F.col("n_words") >= MIN_WORDS_COMMON, words_distance))
+    passed = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASSES + 1.9 / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1))))
+    both = both.withColumn("kept", passed & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON))
+    guarded = F.when((F.col("n_words") >= MIN_WORDS_COMMON) & has_language, F.col("common_distance"))
+    both = both.withColumn("kept_guarded", passed & (F.coalesce(guarded, F.lit(0.0)) <= MAX_COMMON))
+    return both.select(*(F.col(n).alias(k) for k, n in zip(keep, names, strict=True)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_guarded", "language", "class_distance", "common_distance")

@@ -57,7 +57,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judged(_table(spark, sf_dir, "documents"), ["doc_id"])
+    """kept is the verdict that the SQL words (kept_guarded); the operator's own kept, which the pipeline takes, rejects more."""
+    judged = quality.judged(_table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept").withColumnRenamed("kept_guarded", "kept")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -213,6 +213,28 @@ def test_quality_verdicts(spark):
     assert rates[1] > 0.99 and rates[0] < 0.3
 
 
+def plain_words(rng, n, listed):
+    """Made-up words, a share of them listed ones."""
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(5, 9)))
+    return " ".join(rng.choice(quality.COMMON["en"]) if rng.random() < listed else f"{word()}{rng.choice(['', '', '', '', ',', '.'])}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def salad(spark):
+    """Texts with a usual share of listed words (1-100), and without any of 400 (1001-) and 60-190 words (2001-)."""
+    rng = random.Random(12)
+    rows = [(i, plain_words(rng, rng.randint(250, 900), 0.35)) for i in range(1, 101)]
+    rows += [(1000 + i, plain_words(rng, 400, 0)) for i in range(1, 11)] + [(2000 + i, plain_words(rng, 50 + 14 * i, 0)) for i in range(1, 11)]
+    return quality.judged(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).cache()
+
+
+def test_quality_without_listed_words(salad):
+    """No listed word is the largest distance of common words, not a pass."""
+    bad = salad.where("doc_id between 1001 and 2000")
+    assert bad.where("language is null and not base_failed and common_distance > 0.22").count() == 10 and bad.where("kept").count() == 0
+    assert salad.where("doc_id <= 100 and kept").count() == 100
+
+
 @pytest.mark.parametrize("table", ["hard", "docs"])
 def test_sharding(table, request):
     df = request.getfixturevalue(table)
