@@ -23,6 +23,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS_CLASSES, MIN_WORDS_COMMON = 50, 200
 #: Jensen-Shannon distances (base 2, 0 to 1) above which a text is rejected; that of classes has 1.9 / sqrt(characters) more, as a short text strays by chance.
 MAX_CLASSES, MAX_COMMON = 0.13, 0.22
+#: The limit of the common-word distance from MIN_WORDS_CLASSES words on: a fixed part, and a part over sqrt(words) as a short text strays by
+#: chance (about 1.5 / sqrt(words) for 12 listed words of 17 %). At 50 words it is 0.269, below the 0.30 of a text without a listed word.
+COMMON_FIXED, COMMON_NOISE = 0.17, 0.7
 MILLION = 1_000_000
 #: Counts of a histogram: character classes; the listed words of a language and all other words.
 N_CLASSES, N_COMMON = 6, 13
@@ -107,8 +110,9 @@ def judged(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     The references are the mean shares of the texts of a language that pass the base rules and have enough words. A
     text without a listed word has no language: it is held against the mean of all references' classes, and its
-    words, all of them others, against the nearest reference. kept_guarded is the verdict as the SQL of
-    op8_quality_rules words it, which passes such a text's words unmeasured. A null or empty text has zero counts and
+    words, all of them others, against the nearest reference. Common words are measured from MIN_WORDS_CLASSES words
+    on, against a limit that narrows with length. kept_guarded is the verdict as the SQL of op8_quality_rules words it,
+    which passes the words of texts of fewer than MIN_WORDS_COMMON or without a listed one unmeasured. A null or empty text has zero counts and
     fails the base rules. Rows that repeat are judged each. With an empty table nothing is returned; with no text to
     make a reference from, the base rules decide alone.
     """
@@ -131,9 +135,9 @@ def judged(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     both = both.withColumn("class_distance", F.when(F.col("n_words") >= MIN_WORDS_CLASSES, _distance(F.col("_p"), F.col("_q"))))
     has_language = F.col("language").isNotNull()
     words_distance = F.when(has_language, _distance(F.col("_r"), F.col("_w"))).otherwise(F.col("_none"))
-    both = both.withColumn("common_distance", F.when(F.col("n_words") >= MIN_WORDS_COMMON, words_distance))
+    both = both.withColumn("common_distance", F.when(F.col("n_words") >= MIN_WORDS_CLASSES, words_distance))
     passed = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASSES + 1.9 / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1))))
-    both = both.withColumn("kept", passed & (F.coalesce("common_distance", F.lit(0.0)) <= MAX_COMMON))
+    both = both.withColumn("kept", passed & (F.coalesce("common_distance", F.lit(0.0)) <= COMMON_FIXED + COMMON_NOISE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))))
     guarded = F.when((F.col("n_words") >= MIN_WORDS_COMMON) & has_language, F.col("common_distance"))
     both = both.withColumn("kept_guarded", passed & (F.coalesce(guarded, F.lit(0.0)) <= MAX_COMMON))
     return both.select(*(F.col(n).alias(k) for k, n in zip(keep, names, strict=True)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_guarded", "language", "class_distance", "common_distance")

@@ -235,6 +235,16 @@ def test_quality_without_listed_words(salad):
     assert salad.where("doc_id <= 100 and kept").count() == 100
 
 
+def test_quality_of_short_texts(spark, salad):
+    """Common words decide from 50 words on; of the labelled documents hardly any bad one stays, short ones included."""
+    bad = salad.where("doc_id > 2000 and not base_failed")
+    assert bad.count() == 10 and bad.where("n_words < 200").count() == 10 and bad.where("kept").count() == 0
+    sf = SF.replace("0.001", "0.1")
+    judged = quality.judged(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"]).where("not base_failed and n_words < 200")
+    rates = dict(pairs_of(judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("r")), "quality", "r"))
+    assert rates[1] > 0.99 and rates[0] < 0.05
+
+
 @pytest.mark.parametrize("table", ["hard", "docs"])
 def test_sharding(table, request):
     df = request.getfixturevalue(table)
