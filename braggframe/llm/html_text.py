@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of their hosts.
 
-Each page's containers are scored by the text of their own blocks; each page gives its best containers' generalised
-tag-class paths votes. Spark sums the votes of a host and path (a partial aggregate) and keeps the host's winner. Then
+Each page's containers are scored by the text of their own blocks; a container inside an article stands for the whole of
+it; each page gives its best containers' generalised tag-class paths votes. Spark sums the votes of a host and path (a partial aggregate) and keeps the host's winner. Then
 every page is read again: the elements at its host's winning path are the main text; a page that has none takes its own
 best container.
 """
@@ -44,6 +44,7 @@ VOTERS = 3
 
 
 class _Node:
+    #: own is the link text of the blocks that the node contains itself.
     __slots__ = ("tag", "path", "parent", "out", "own", "linked", "inside")
 
     def __init__(self, tag: str, step: str, parent: _Node | None, out: bool):
@@ -99,6 +100,10 @@ def blocks_of(page: str) -> list[tuple[_Node, str]]:
             held.append(raw)
             if top.inside and raw.strip():
                 top.linked += len(raw)
+                box = top
+                while box.parent and box.tag not in BLOCK:
+                    box = box.parent
+                box.own += len(raw)
 
     def close(tag: str, upto: set[str]) -> None:
         """Closes the nearest open element of that name, unless one of upto stands before it."""
@@ -177,13 +182,61 @@ def _scored(blocks: list[tuple[_Node, str]]) -> dict[int, tuple[float, _Node]]:
     return scores
 
 
+def _sums(blocks: list[tuple[_Node, str]]) -> dict[int, tuple[int, int]]:
+    """Characters of text and of link text below each element, outside ones left out."""
+    boxes: dict[int, tuple[int, _Node]] = {}
+    for box, text in blocks:
+        if not box.out:
+            boxes[id(box)] = (boxes.get(id(box), (0,))[0] + len(text), box)
+    sums: dict[int, tuple[int, int]] = {}
+    for n, box in boxes.values():
+        x, linked = box, min(n, box.own)
+        while x is not None:
+            old = sums.get(id(x), (0, 0))
+            sums[id(x)] = (old[0] + n, old[1] + linked)
+            x = x.parent
+    return sums
+
+
+def _whole(node: _Node, sums: dict[int, tuple[int, int]]) -> _Node:
+    """The container of the whole article that node is the densest part of.
+
+    That is the article or main around it, or a main around that; without one, the ancestors below the body. Of these, one
+    is taken as long as what it adds is text, and not mostly links.
+    """
+
+    def up(x: _Node | None, tags: set[str] | None) -> _Node | None:
+        while x is not None and x.tag not in ("#", "html", "body"):
+            if (x.tag in tags) if tags else (x.tag not in INNER):
+                return x
+            x = x.parent
+        return None
+
+    marked = {"article", "main"} if (found := up(node, {"article", "main"})) else None
+    whole = found or node
+    while whole.tag not in ("#", "html", "body") and (x := up(whole.parent, marked)):
+        text, linked = (a - b for a, b in zip(sums.get(id(x), (0, 0)), sums.get(id(whole), (0, 0)), strict=True))
+        if 2 * linked > text:
+            break
+        whole = x
+    return whole
+
+
 def best_paths(page: str) -> list[tuple[str, int]]:
     """The paths of a page's best containers with votes: 1000 for the best, in proportion for the others."""
     by_path: dict[str, float] = {}
-    for score, node in _scored(blocks_of(page)).values():
+    first: dict[str, tuple[float, _Node]] = {}
+    blocks = blocks_of(page)
+    for score, node in _scored(blocks).values():
         by_path[node.path] = by_path.get(node.path, 0.0) + score
+        if node.path not in first or score > first[node.path][0]:
+            first[node.path] = (score, node)
     top = sorted(((s, p) for p, s in by_path.items() if s > 0), key=lambda x: (-x[0], x[1]))[:VOTERS]
-    return [(p, int(1000 * s / top[0][0])) for s, p in top]
+    votes: dict[str, int] = {}
+    sums = _sums(blocks) if top else {}
+    for s, p in top:
+        votes.setdefault(_whole(first[p][1], sums).path, int(1000 * s / top[0][0]))
+    return list(votes.items())
 
 
 def main_text(page: str, path: str | None) -> str:
@@ -204,7 +257,7 @@ def main_text(page: str, path: str | None) -> str:
     if not found:
         scores = _scored(blocks)
         if scores:
-            best = max(scores.values(), key=lambda s: (s[0], -len(s[1].path)))[1]
+            best = _whole(max(scores.values(), key=lambda s: (s[0], -len(s[1].path)))[1], _sums(blocks))
             found = below(lambda x: x is best)
     if not found:
         found = [text for box, text in blocks if not box.out]

@@ -400,6 +400,25 @@ def test_extraction(spark):
     assert paths["host0.example.com"] == "/html/body/div.post-#"
 
 
+WHOLE = {
+    "wrapper": ("<article><h1>Title</h1><div class=content><p>{t}</p><p>{t}</p></div></article>", "Title {t} {t}"),
+    "lead": ("<article><h1>Title</h1><div class=lead><p>Lead words.</p></div><div class=content><p>{t}</p></div><div class=more><p>Last words.</p></div></article>", "Title Lead words. {t} Last words."),
+    "main": ("<main><div class=intro>Lead words.</div><article><h2>Title</h2><section class=a><p>{t}</p></section><section class=b><p>Last.</p></section></article></main>", "Lead words. Title {t} Last."),
+    "no article": ("<div class=page><div class=links><a href=/a>One link</a> <a href=/b>another link</a></div><div class=body><h1>Title</h1><div class=text><p>{t}</p></div></div></div>", "Title {t}"),
+    "links beside": ("<main><ul><li><a href=/a>One link</a></li><li><a href=/b>another link</a></li></ul><article><h1>Title</h1><div class=x><p>{t}</p></div></article></main>", "Title {t}"),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_article(spark, name):
+    """Headings, lead blocks and further sections beside the densest container stay, with the host's path and without it."""
+    page, want = WHOLE[name]
+    rows = [(i, f"http://whole.example.com/{i}", f"<html><body><nav>menu</nav>{page.format(t=f'Body words of page {i}, many of them. ' * 10 + 'End.')}<footer>end</footer></body></html>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want.format(t=f"Body words of page {i}, many of them. " * 10 + "End.") for i in range(3)}
+    assert html_text.main_text(rows[0][2], None) == got[0]
+
+
 HTML = {
     "<p>a<p>b": "a b",
     "<article><h1>T</h1><p>a <b>b</b>c</article><div id=comments><p>no, no, no</div>": "T a bc",
