@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
-reads it again as the next stage's docs. All but the last return the columns of documents.
+reads it again as the next stage's docs. All but the last return the columns of documents. Stages decide by row: rows that
+share a doc_id, or have none, are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,27 +15,42 @@ from braggframe.llm.common import WORD, small, stored
 from braggframe.llm.queries import CAPACITY, END_ID, vocabulary
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of each row in the order of doc_id, rows without one last.
+
+    That is doc_id itself where no two rows share one and none is null. Else rows are range-sorted and numbered, once and
+    for all: the numbers are stored.
+    """
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence rules keep."""
     columns = docs.columns
-    judged = quality.judged(docs, ["doc_id"]).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = stored(judged, "pipeline-kept")
-    return docs.join(small(kept, 16), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select(*columns)
+    docs = by_row(docs)
+    kept = stored(quality.judged(docs, ["_row"]).where("kept").select("_row"), "pipeline-kept")
+    return docs.join(small(kept, 16), "_row", "left_semi").select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; n_chars follows the text. One that keeps no line with a word goes."""
     columns = docs.columns
-    deduped = lines.deduped_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
+    rows = by_row(docs).withColumnsRenamed({"doc_id": "_doc_id", "_row": "doc_id"})
+    deduped = lines.deduped_lines(rows).withColumnsRenamed({"doc_id": "_row", "_doc_id": "doc_id"}).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return deduped.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest doc_id, of each group that links of shingle Jaccard 0.75 or more connect."""
     columns = docs.columns
-    groups = ngram_join.ngram_groups(docs)
-    kept = stored(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct(), "pipeline-kept")
-    return docs.join(small(kept, 16), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select(*columns)
+    docs = by_row(docs)
+    groups = ngram_join.ngram_groups(docs.select(F.col("_row").alias("doc_id"), "text"))
+    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_row")), "pipeline-kept")
+    return docs.join(small(kept, 16), "_row", "left_semi").select(*columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -524,3 +524,24 @@ def test_pipeline(spark, docs):
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_decides_by_row(spark, docs):
+    """Rows with a repeated or null doc_id are kept or not by their own text; of exact repeats one stays."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    good, odd, free = (plain_words(rng, 300, 0.35) for _ in range(3))
+    short = [plain_words(rng, 12, 0.35) for _ in range(2)]
+    texts = [(1, good), (1, good), (1, short[0]), (2, odd), (None, free), (None, free), (None, short[1]), (2, good)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts] + [(100 + i, t, "en", "s", len(t)) for i, t in enumerate(plain_words(rng, rng.randint(250, 500), 0.35) for _ in range(20))]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages, some = dict(corpus_pipeline.STAGES), lambda df: Counter((i, t) for i, t in pairs_of(df, "doc_id", "text") if i is None or i < 100)
+    assert some(stages["quality_rules"](spark, rows, SF)) == Counter([(1, good), (1, good), (2, odd), (None, free), (None, free), (2, good)])
+    once = {(1, good): 1, (2, odd): 1, (None, free): 1}
+    long = rows.where("n_chars > 500")
+    assert some(stages["line_dedup"](spark, long, SF)) == once and some(stages["ngram_join"](spark, long, SF)) == once
+    # The same line at the same place of two texts of one doc_id: the first keeps it, and no other line goes with it.
+    line, a, b = "A line of its own that both of these texts begin with.", "First text goes on in its own words.", "Another second line of the other."
+    pair = spark.createDataFrame([(5, f"{line}\n{a}", "en", "s", 1), (5, f"{line}\n{b}", "en", "s", 1)], rows.schema)
+    assert sorted(len(t.split("\n")) for _, t in pairs_of(stages["line_dedup"](spark, pair, SF), "doc_id", "text")) == [1, 2]
