@@ -17,6 +17,8 @@ from ..session import ship_package
 
 #: A side of a join is broadcast only below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
+#: Rows of a file of a stored table whose rows are bounded, and the least number of its files.
+FILE_ROWS, LEAST_FILES = 100_000, 8
 #: Rows and bytes of an Arrow batch sent to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: The white space that ends a word: space and the controls 9 to 13.
@@ -31,6 +33,8 @@ def storage(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _fallback:
         holder = tempfile.TemporaryDirectory(prefix="braggframe-")
         atexit.register(holder.cleanup)
@@ -62,11 +66,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of df with a Parquet table in the shared folder. The path is kept in .stored_at."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage of df with a Parquet table in the shared folder. The path is kept in .stored_at.
+
+    rows: a bound of its rows, where one is known. A table of few rows is then written to few files, however many partitions
+    the shuffle before it has; files of a handful of rows cost more to create and open than to read.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back
@@ -127,7 +137,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         nearer = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = stored(nearer.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name)
+        # A round leaves no more edges than there were, and one a node.
+        after = stored(nearer.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name, before[0])
         drop_stored(current)
         current = after
         if (mark := count(current)) == before:
@@ -139,8 +150,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, rows_each: int = 50_000) -> DataFrame:
     """Adds out, the gapless rank from 0 of a row within its keys, without gathering a key in one task.
 
-    Rows fall into parts of a key by the hash of their order columns. A part's rank is a window; the parts' offsets
-    are a window over one row a part. df must read the same on every evaluation.
+    Rows fall into parts of a key by the hash of their order columns, so these must tell rows apart: an id of the row is one
+    of them, or equal rows would share a part. A part's rank is a window; the parts' offsets are a window over one row a
+    part. df must read the same on every evaluation.
     """
     total = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_each)).cast("int")

@@ -8,13 +8,13 @@ Every text is the set of its distinct word shingles (64-bit hashes). Texts with
 3. orders tokens, the recurring ones last, so that a passage that many documents share lies outside almost every
    prefix. Two sets of the asked similarity share a token among the first n - ceil(t * n) + 1 of each, so the prefixes
    alone find every (node, group) pair to look at;
-4. opens only the groups that can hold a partner: the group's token union is one sorted array with the member of each
-   entry, a lookup counts the overlap with the union, and only a query whose overlap reaches t * n goes on to the exact
-   counts of each member;
-5. takes the components of all links.
+4. stores the token-group matrix: a row a group with its token union, ascending, and the members of each of its tokens;
+5. bounds each query's overlap with a group by its tokens in the group's union. Only where that reaches t * n is the group
+   opened: the members of the tokens found give the exact overlap with each member;
+6. takes the components of all links.
 
-A group is opened in chunks of at most CHUNK members against at most QUERIES queries, so no task holds a whole group.
-The order of tokens changes only the work: any order gives every link.
+A group is stored in chunks of at most CHUNK members and about CHUNK_TOKENS tokens, and probed by at most QUERIES queries at
+a time, so no task holds a whole group. The order of tokens changes only the work: any order gives every link.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ from .shingles import bands_of, shingle_sets
 BANDS, ROWS, BANDS_SHARED = 12, 4, 2
 #: Nodes of a bucket that are put in order together.
 SALTED = 4096
-CHUNK, QUERIES = 256, 2048
-#: Tokens of a chunk of documents among which recurring ones are counted.
-COUNTED = 2 << 20
+CHUNK, CHUNK_TOKENS, QUERIES = 256, 1 << 20, 2048
+#: Tokens that are put in order together, and different tokens of a chunk of documents among which recurring ones are counted.
+SORTED, COUNTED = 1 << 18, 1 << 20
 #: At most so many recurring tokens are put last in the order, the most frequent ones.
 LATE, LATE_FROM = 1 << 18, 8
 _SET = "doc_id long, n long, sig binary, bands array<long>, tokens array<long>, counts array<long>"
@@ -48,15 +48,42 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+class _Counts:
+    """How many sets hold each token, kept as two sorted arrays that grow by merging."""
+
+    def __init__(self) -> None:
+        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, s: np.ndarray) -> None:
+        self.held.append(s)
+        self.size += len(s)
+        if self.size >= SORTED:
+            self.merge()
+
+    def merge(self) -> None:
+        fresh, n = np.unique(np.concatenate([*self.held, np.zeros(0, np.uint64)]), return_counts=True)
+        self.held, self.size = [], 0
+        at = np.searchsorted(self.tokens, fresh)
+        known = np.zeros(len(fresh), bool)
+        inside = at < len(self.tokens)
+        known[inside] = self.tokens[at[inside]] == fresh[inside]
+        self.counts[at[known]] += n[known]
+        self.tokens = np.insert(self.tokens, at[~known], fresh[~known])
+        self.counts = np.insert(self.counts, at[~known], n[~known])
+
+
 def _measured(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        held, seen, size = [], set(), 0
+        names = ["doc_id", "n", "sig", "bands", "tokens", "counts"]
+        seen, counted = set(), _Counts()
 
         def recurring() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), _lists([none]), _lists([tokens[keep]]), _lists([counts[keep]])], ["doc_id", "n", "sig", "bands", "tokens", "counts"])
+            counted.merge()
+            keep = counted.counts > 1
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), _lists([none]), _lists([counted.tokens[keep]]), _lists([counted.counts[keep]])], names)
 
         for batch in batches:
             n, sigs, bands = [], [], []
@@ -66,14 +93,12 @@ def _measured(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 bands.append(bands_of(s, BANDS, ROWS) if len(s) else none)
                 if len(s) and sigs[-1] not in seen:
                     seen.add(sigs[-1])
-                    held.append(s)
-                    size += len(s)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), _lists(bands), _lists([none] * len(n)), _lists([none] * len(n))], ["doc_id", "n", "sig", "bands", "tokens", "counts"])
-            if size >= COUNTED:
+                    counted.add(s)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), _lists(bands), _lists([none] * len(n)), _lists([none] * len(n))], names)
+            if len(counted.tokens) >= COUNTED:
                 yield recurring()
-                held, seen, size = [], set(), 0
-        if held:
-            yield recurring()
+                seen, counted = set(), _Counts()
+        yield recurring()
 
     return run
 
@@ -84,81 +109,139 @@ def _prefixes(width: int, percent: int, late: np.ndarray) -> Callable[[Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, kept = [], []
             for s in shingle_sets(column(batch, "text"), width):
-                p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                p, early = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0, len(s)
                 if p and len(keys):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     hot = keys[at] == s
                     if hot.any():
+                        early = int((~hot).sum())
                         s = np.concatenate([s[~hot], s[hot][np.argsort(places[at[hot]])]])
                 out.append(s[:p])
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), _lists(out)], ["doc_id", "prefix"])
+                kept.append(min(early, p))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), _lists(out), pa.array(kept, pa.int32())], ["doc_id", "prefix", "rare"])
 
     return run
 
 
-class _Opened:
-    """A chunk of a group: the token union with the members of each entry."""
+_MATRIX = "grp long, chunk int, union array<long>, docs array<long>, sizes array<long>, counts array<int>, members array<int>"
+_PROBED = "doc_id long, grp long, chunk int, block int, n long, at array<int>"
 
-    def __init__(self, docs: list[int], sets: list[np.ndarray]):
-        self.docs, self.sizes = np.array(docs), np.array([len(s) for s in sets])
+
+def _ints(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _unions(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Members come sorted by group and chunk; a row of the matrix for each: the union, and for each of its tokens how many and which members."""
+
+    def row(key: tuple[int, int], docs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
-        self.member = np.repeat(np.arange(len(sets)), self.sizes)[order]
-        self.union, self.starts = np.unique(flat[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(flat))
-
-    def link(self, doc: int, s: np.ndarray, percent: int) -> int | None:
-        """A member that is similar to the query, if any."""
-        at = np.searchsorted(self.union, s)
-        at = at[(at < len(self.union)) & (self.union[np.minimum(at, len(self.union) - 1)] == s)]
-        if 100 * len(at) < percent * len(s):
-            return None
-        a, b = self.starts[at], self.ends[at]
-        take = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
-        both = np.bincount(self.member[take], minlength=len(self.docs))
-        good = (100 * both >= percent * (self.sizes + len(s) - both)) & (self.docs != doc)
-        return int(self.docs[good].min()) if good.any() else None
-
-
-def _opening(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by group, chunk, block and role: a chunk's members stand before its queries."""
+        union, counts = np.unique(flat, return_counts=True)
+        members = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), _lists([union]), _lists([np.array(docs, np.int64)]), _lists([sizes]), _ints([counts]), _ints([members])], ["grp", "chunk", "union", "docs", "sizes", "counts", "members"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, docs, sets = None, [], []
+        for batch in batches:
+            for *k, doc, s in zip(*(column(batch, c).to_pylist() for c in ("grp", "chunk", "doc_id")), shingle_sets(column(batch, "text"), width), strict=True):
+                if tuple(k) != key:
+                    if docs:
+                        yield row(key, docs, sets)
+                    key, docs, sets = tuple(k), [], []
+                docs.append(doc)
+                sets.append(s)
+        if docs:
+            yield row(key, docs, sets)
+
+    return run
+
+
+def _array(col: pa.Array, i: int, kind: type) -> np.ndarray:
+    return np.asarray(col[i].values, kind)
+
+
+def _probing(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A union comes before its queries. Queries whose tokens in the union reach percent of their own, and the places of these tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, union = None, None
+        for batch in batches:
+            out = []
+            unions = column(batch, "union")
+            keys = (column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "doc_id"))
+            for i, (*k, doc, s) in enumerate(zip(*keys, shingle_sets(column(batch, "text"), width), strict=True)):
+                if doc is None:
+                    key, union = k, _array(unions, i, np.int64).view(np.uint64)
+                elif k == key:
+                    at = np.searchsorted(union, s)
+                    at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == s)]
+                    if 100 * len(at) >= percent * len(s):
+                        out.append((doc, *k, len(s), at))
+            arrays = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*arrays, _ints([r[5] for r in out])], ["doc_id", "grp", "chunk", "block", "n", "at"])
+
+    return run
+
+
+def _opening(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row of the matrix comes before the queries that open it: a link of each query to the smallest similar member, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, opened, docs, sets = None, None, [], []
+        key, docs, sizes, ends, members = None, None, None, None, None
         for batch in batches:
             links = []
-            keys = (column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "role", "doc_id"))
-            for *k, role, doc, s in zip(*keys, shingle_sets(column(batch, "text"), width), strict=True):
-                if k != key:
-                    key, opened, docs, sets = k, None, [], []
-                if role == 0:
-                    docs.append(doc)
-                    sets.append(s)
-                    continue
-                opened = opened or (_Opened(docs, sets) if docs else None)
-                other = opened.link(doc, s, percent) if opened else None
-                if other is not None:
-                    links.append((doc, other))
+            lists = {c: column(batch, c) for c in ("docs", "sizes", "counts", "members", "at")}
+            for i, (*k, doc, n) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "doc_id", "n")), strict=True)):
+                if doc is None:
+                    key, docs, sizes = k, _array(lists["docs"], i, np.int64), _array(lists["sizes"], i, np.int64)
+                    ends, members = np.cumsum(_array(lists["counts"], i, np.int64)), _array(lists["members"], i, np.int32)
+                elif k == key:
+                    at = _array(lists["at"], i, np.int64)
+                    b = ends[at]
+                    a = np.where(at > 0, ends[at - 1], 0)
+                    take = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+                    both = np.bincount(members[take], minlength=len(docs))
+                    good = (100 * both >= percent * (sizes + n - both)) & (docs != doc)
+                    if good.any():
+                        links.append((doc, int(docs[good].min())))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between the queries (doc_id, grp) and the members (doc_id, grp) of the groups; one a chunk at most for each query."""
-    n = queries.groupBy("grp").agg(F.count("*").alias("queries")).join(members.groupBy("grp").agg(F.count("*").alias("members")), "grp")
-    n = n.select("grp", F.ceil(F.col("queries") / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    m = members.join(n, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
-    q = queries.join(n, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int").alias("block"), F.lit(1).alias("role"))
+def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the queries (doc_id, grp) and the members (doc_id, grp, n) of the groups; one a chunk at most for each query. total: a bound of the documents."""
+    weight = members.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
+    n = queries.groupBy("grp").agg(F.count("*").alias("queries")).join(weight, "grp")
+    n = n.select("grp", F.ceil(F.col("queries") / QUERIES).cast("int").alias("blocks"), F.least(chunks, F.col("members")).cast("int").alias("chunks"))
+    m = members.join(n, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "blocks", F.lit(0).alias("role"))
+    q = queries.join(n, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int").alias("blocks"), F.lit(1).alias("role"))
     rows = stored(m.unionByName(q), "ngram-rows")
-    wanted = stored(rows.select("doc_id").distinct(), "ngram-wanted")
+    wanted = stored(rows.select("doc_id").distinct(), "ngram-wanted", total)
     # Texts travel rather than sets: they are smaller, and a set is made again in little time.
     some = texts.join(small(wanted, 16), "doc_id", "left_semi").join(small(rows, 40), "doc_id")
-    links = some.repartition("grp", "chunk", "block").sortWithinPartitions("grp", "chunk", "block", "role").mapInArrow(_opening(width, percent), "a long, b long")
+    held = some.where("role = 0").select("doc_id", "grp", "chunk", "text")
+    matrix = stored(held.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(_unions(width), _MATRIX), "ngram-matrix")
+    blocks = rows.where("role = 0").select("grp", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).distinct()
+    place, null = ["grp", "chunk", "block"], lambda t: F.lit(None).cast(t)
+    unions = matrix.select("grp", "chunk", "union").join(blocks, ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("string").alias("text"), "union")
+    asking = some.where("role = 1").select("grp", "chunk", F.col("blocks").alias("block"), "doc_id", "text", null("array<long>").alias("union"))
+    probe = unions.unionByName(asking).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id"))
+    probed = stored(probe.mapInArrow(_probing(width, percent), _PROBED), "ngram-probed")
+    lists = ["docs", "sizes", "counts", "members"]
+    opened = matrix.drop("union").join(probed.select(*place).distinct(), ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("long").alias("n"), null("array<int>").alias("at"), *lists)
+    kinds = dict(matrix.dtypes)
+    finding = probed.select(*place, "doc_id", "n", "at", *(null(kinds[c]).alias(c) for c in lists))
+    links = opened.unionByName(finding).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id")).mapInArrow(_opening(percent), "a long, b long")
     out = stored(links.distinct(), "ngram-links")
-    drop_stored(rows, wanted)
+    drop_stored(rows, wanted, matrix, probed)
     return out
 
 
@@ -176,37 +259,42 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
 
     n_links counts the links that the join had to find for the document's node, a spanning part of all links.
     Null or wordless text: n_shingles 0 and its own component. Rows that share a doc_id are one node and stay separate
-    rows. A null doc_id links with nothing and has a null component. Other columns of docs are ignored; an empty
-    table gives an empty one.
+    rows. A null doc_id links with nothing and has a null component. A very long text is hashed slice by slice; its set, 8
+    bytes a shingle, is held in one task. Equal sets tie and are one node, of the smallest doc_id. Other columns of docs are
+    ignored, whatever their names; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = stored(texts.mapInArrow(_measured(width), _SET), "ngram-measured")
     rows = measured.where("n is not null")
+    total = rows.count()  # bounds the tables of one row a node
     nodes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "bands"), "doc_id").alias("x")).select("sig", "x.*")
-    nodes = stored(nodes, "ngram-nodes")
-    own = stored(rows.where("sig is not null and doc_id is not null").select("doc_id", "sig").distinct().join(nodes.select("sig", F.col("doc_id").alias("node")), "sig").select("doc_id", "node").distinct(), "ngram-own")
-    buckets = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    firsts = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("grp"), F.count("*").alias("c")).where("c > 1")
-    crowded = buckets.join(firsts.withColumn("salts", F.ceil(F.col("c") / SALTED).cast("int")).drop("c"), ["band", "key"])
+    nodes = stored(nodes, "ngram-nodes", total)
+    own = stored(rows.where("sig is not null and doc_id is not null").select("doc_id", "sig").distinct().join(nodes.select("sig", F.col("doc_id").alias("node")), "sig").select("doc_id", "node").distinct(), "ngram-own", total)
+    buckets = nodes.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
+    firsts = buckets.groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    crowded = buckets.join(firsts.select("band", "key", F.col("first.doc_id").alias("grp"), F.col("first.n").alias("g_n"), F.ceil(F.col("c") / SALTED).cast("int").alias("salts")), ["band", "key"])
     # Two bands shared with a bucket's first make a similarity worth the check likely. In a family around the threshold
     # the first is often too far, so each node is also held against the one before it. What both miss the prefixes find.
-    stars = crowded.where("doc_id <> grp").groupBy("doc_id", "grp").agg(F.count("*").alias("c")).where(F.col("c") >= BANDS_SHARED).drop("c")
-    before = F.lag("doc_id").over(W.partitionBy("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).orderBy("doc_id"))
-    chains = crowded.withColumn("grp", before).where("grp is not null and doc_id <> grp").select("doc_id", "grp")
-    stars = stored(stars.union(chains).distinct(), "ngram-stars")
-    near = _open_groups(texts, stars, stars.select(F.col("grp").alias("doc_id"), "grp").distinct(), width, percent)
+    stars = crowded.where("doc_id <> grp").groupBy("doc_id", "grp", "g_n").agg(F.count("*").alias("c")).where(F.col("c") >= BANDS_SHARED).drop("c")
+    before = F.lag(F.struct("doc_id", "n")).over(W.partitionBy("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).orderBy("doc_id"))
+    chains = crowded.withColumn("_b", before).where("_b is not null and doc_id <> _b.doc_id").select("doc_id", F.col("_b.doc_id").alias("grp"), F.col("_b.n").alias("g_n"))
+    stars = stored(stars.union(chains).distinct(), "ngram-stars", 2 * BANDS * total)
+    near = _open_groups(texts, stars.select("doc_id", "grp"), stars.select(F.col("grp").alias("doc_id"), "grp", F.col("g_n").alias("n")).distinct(), total, width, percent)
     groups = components(near)
 
     late = _recurring(measured)
     labelled = nodes.select("doc_id", "n").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id")).drop("component")
     sizes = labelled.groupBy("grp").agg(F.count("*").alias("members"))
-    labelled = stored(labelled.join(sizes, "grp").select("doc_id", "n", "grp", "members"), "ngram-labelled")
-    prefixes = texts.mapInArrow(_prefixes(width, percent, late), "doc_id long, prefix array<long>")
-    entries = prefixes.join(small(labelled.select("doc_id").distinct(), 16), "doc_id", "left_semi").select("doc_id", F.posexplode("prefix").alias("pos", "token"))
-    over = W.partitionBy("token")
-    met = entries.withColumns({"_lo": F.min("doc_id").over(over), "_hi": F.max("doc_id").over(over)}).where("_lo < _hi").select("token", "doc_id", "pos")
+    labelled = stored(labelled.join(sizes, "grp").select("doc_id", "n", "grp", "members"), "ngram-labelled", total)
+    prefixes = texts.mapInArrow(_prefixes(width, percent, late), "doc_id long, prefix array<long>, rare int")
+    entries = prefixes.join(small(labelled.select("doc_id").distinct(), 16), "doc_id", "left_semi").select("doc_id", "rare", F.posexplode("prefix").alias("pos", "token"))
+    # Tokens that recur go on in any case and are dealt by document, so no frequent token is gathered here; the others are
+    # brought together to see whether two documents have one.
+    entries = entries.withColumn("_salt", F.when(F.col("pos") >= F.col("rare"), F.col("doc_id")))
+    over = W.partitionBy("token", "_salt")
+    met = entries.withColumns({"_lo": F.min("doc_id").over(over), "_hi": F.max("doc_id").over(over)}).where("_salt is not null or _lo < _hi").select("token", "doc_id", "pos")
     met = stored(met, "ngram-met")
     entries = met.join(small(labelled, 48), "doc_id")
     common = entries.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
@@ -222,8 +310,8 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     reach = F.col("c") + F.col("n") - F.col("last") - 1
     need = F.ceil((F.col("n") + F.col("n_min")) * percent / (100 + percent) - 1e-6)
     queries = stored(pairs.where((F.col("of") > 1) | (reach >= need)).select("doc_id", "grp"), "ngram-queries")
-    opened = labelled.select("doc_id", "grp").join(queries.select("grp").distinct(), "grp")
-    more = _open_groups(texts, queries, opened, width, percent)
+    opened = labelled.select("doc_id", "grp", "n").join(queries.select("grp").distinct(), "grp")
+    more = _open_groups(texts, queries, opened, total, width, percent)
 
     links = stored(near.unionByName(more).unionByName(own.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "ngram-all")
     linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))

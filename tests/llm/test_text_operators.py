@@ -105,6 +105,35 @@ def test_ngram_join_opens_chunks_of_large_groups(spark, monkeypatch):
     assert dict(pairs_of(ngram_join.ngram_groups(df), "doc_id", "component_id")) == linked(rows)
 
 
+def test_shingles_of_long_texts_and_words(monkeypatch):
+    """Sliced or whole, with words of any length: as many shingles as the text has, and the same ones."""
+    from braggframe.llm import shingles as made
+
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcÄX") for _ in range(rng.choice([1, 2, 3, 700]))) for _ in range(3000))
+    whole = [len(shingles(text)), list(made.shingle_sets(pa.array([text])))[0].tolist()]
+    assert len(whole[1]) == whole[0]
+    monkeypatch.setattr(made, "SLICE_BYTES", 2000)
+    got = list(made.shingle_sets(pa.array([text, None, "a b", text.upper().replace("ä", "Ä")])))
+    assert got[0].tolist() == whole[1] == got[3].tolist() and len(got[1]) == 0 and len(got[2]) == 1
+
+
+def test_counts_merge():
+    counts = ngram_join._Counts()
+    rng = random.Random(13)
+    want = Counter()
+    for _ in range(40):
+        s = np.unique(np.array([rng.randrange(300) for _ in range(50)], np.uint64))
+        counts.add(s)
+        want.update(s.tolist())
+        if rng.random() < 0.3:
+            counts.merge()
+    counts.merge()
+    assert dict(zip(counts.tokens.tolist(), counts.counts.tolist(), strict=True)) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(1000, x) for x in range(1001, 1200)] + [(5, 5)]
@@ -327,19 +356,32 @@ def test_packing(table, request):
     assert len(sequences) <= -(-total // 1024) * 1.05 + 1
 
 
-def test_sweep_is_best_fit_decreasing():
+@pytest.mark.parametrize("rows", [200_000, 60])
+@pytest.mark.parametrize("kind", ["any", "short", "alike"])
+def test_rounds_pack_like_best_fit_decreasing(spark, monkeypatch, rows, kind):
+    """In one range and in many: as many sequences as one loop over all pieces makes."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
     rng = random.Random(8)
-    for _ in range(20):
-        sizes = sorted((rng.randint(1, 100) for _ in range(400)), reverse=True)
-        gaps: list[int] = []
-        for s in sizes:
-            fit = min((g for g in gaps if g >= s), default=None)
-            if fit is None:
-                gaps.append(100 - s)
-            else:
-                gaps[gaps.index(fit)] -= s
-        placed, made = packing.sweep(dict(Counter(sizes)), 100)
-        assert made == len(gaps) and sum(p[2] for p in placed) == len(sizes)
+    sizes = {"any": [rng.randint(1, 100) for _ in range(400)], "short": [rng.randint(1, 9) for _ in range(500)] + [70] * 20, "alike": [34] * 150 + [33] * 150}[kind]
+    gaps: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= s), default=None)
+        if fit is None:
+            gaps.append(100 - s)
+        else:
+            gaps[gaps.index(fit)] -= s
+    got = packing.placed(spark, spark.createDataFrame(list(enumerate(sizes)), "id long, length long").cache(), 100).collect()
+    assert sorted(r.id for r in got) == list(range(len(sizes)))
+    loads = Counter()
+    for r in got:
+        loads[r.seq] += sizes[r.id]
+    assert max(loads.values()) <= 100 and len(loads) <= len(gaps) + (rows == 60)
+
+
+def test_left_gaps_serve_later_ranges_last_first():
+    # Two gaps are left in range 0 and one in range 1; range 1 took none, range 2 wants four.
+    assert packing.served([(0, 0, 2), (1, 0, 1), (2, 4, 0)]) == [(2, 0, 1, 1, 0), (2, 1, 2, 0, 1)]
+    assert packing.served([(0, 3, 0), (1, 1, 5)]) == []
 
 
 def said(rows):
