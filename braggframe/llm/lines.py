@@ -6,8 +6,12 @@ indexed by (segment number, length, hash of the segment); each line probes the i
 with the substrings at those starts only. Pairs that meet are verified by a bit-parallel automaton over the band of
 2 * EDITS + 1 diagonals, after their common ends are cut off.
 
+Lines of at most EDITS code points have no segments: all of them are within EDITS edits of each other, so the one that
+stands first is enough to know; a longer line within EDITS edits of one shares a character with it, which is their key.
+
 Lines travel as two hashes and a length; texts are fetched for the lines of candidate pairs alone. Equal lines are
-merged before the shuffle, so a line that a third of all documents share is one row a task.
+merged before the shuffle, so a line that a third of all documents share is one row a task. A key that more than BLOCK lines
+share (a template) is joined in blocks of its index and probe lines.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from .common import WORD, drop_stored, ship_package, small, stored
 
 #: Edits (insertions, deletions, substitutions of code points) up to which two lines are near-duplicates.
 EDITS = 2
-#: Lines of fewer code points are compared for equality only: two edits would make strangers of them.
-MIN_NEAR = 20
+#: Lines of a key that are joined in one task.
+BLOCK = 2000
 #: Characters after which the automaton of a pair is looked at.
 PROBED = 16
 
@@ -39,9 +43,26 @@ def _with_keys(lines: DataFrame, edits: int) -> DataFrame:
     # Segments of _of / parts, the last ones a code point longer.
     size, short = F.floor(F.col("_of") / parts).cast("int"), parts - F.col("_of") % parts
     rows = rows.withColumn("_size", size + (F.col("_cut.i") >= short).cast("int")).withColumn("_start", F.col("_cut.i") * size + F.greatest(F.lit(0), F.col("_cut.i") - short) + 1 + F.col("_cut.shift"))
-    rows = rows.where((F.col("_start") >= 1) & (F.col("_start") + F.col("_size") <= F.col("length") + 1))
+    rows = rows.where((F.col("_of") >= parts) & (F.col("_start") >= 1) & (F.col("_start") + F.col("_size") <= F.col("length") + 1))
     key = F.xxhash64(F.substring("line", F.col("_start"), F.col("_size")), F.col("_cut.i"), F.col("_of"))
-    return rows.select("h", "g", "length", key.alias("key"), ((F.col("_cut.gap") == 0) & (F.col("_cut.shift") == 0)).alias("indexed"))
+    rows = rows.select("h", "g", "length", key.alias("key"), ((F.col("_cut.gap") == 0) & (F.col("_cut.shift") == 0)).alias("indexed"))
+    if not edits:
+        return rows
+    chars = F.array_distinct(F.filter(F.split("line", ""), lambda c: c != ""))
+    short = lines.where(F.col("length") <= 2 * edits).select("h", "g", "length", F.explode(chars).alias("_char"))
+    return rows.unionByName(short.select("h", "g", "length", F.xxhash64("_char").alias("key"), (F.col("length") <= edits).alias("indexed")))
+
+
+def _in_blocks(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and probe rows of met, with the block of each key that they meet in: a crowded key's rows in several."""
+    n = met.groupBy("key").agg(F.count("*").alias("p"), F.sum(F.col("indexed").cast("long")).alias("i")).where((F.col("p") > BLOCK) & (F.col("i") > 0))
+    crowded = stored(n.select("key", F.ceil(F.col("i") / BLOCK).cast("int").alias("_is"), F.ceil(F.col("p") / BLOCK).cast("int").alias("_ps")), "line-crowded")
+    rows = met.join(small(crowded, 16), "key", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_is", "_ps")})
+    own = lambda of: F.pmod(F.xxhash64("g"), of).cast("int")
+    all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    i = rows.where("indexed").withColumn("_ib", own("_is")).withColumn("_pb", all_of("_ps"))
+    p = rows.withColumn("_pb", own("_ps")).withColumn("_ib", all_of("_is"))
+    return i.drop("_is", "_ps"), p.drop("_is", "_ps")
 
 
 def _common_prefix(a: Column, b: Column, limit: Column) -> Column:
@@ -109,62 +130,85 @@ def _lines(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "at", "line", F.length("line").alias("length"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, min_length: int = 0) -> DataFrame:
     """doc_id and dropped, the numbers of the lines that equal or nearly equal an earlier line; only documents that lose one.
 
     The order of lines is (doc_id, line number). A line is dropped if its text stands earlier, or if its text is within
-    edits of another text that first stands earlier: only texts that come before all their neighbours remain.
+    edits of another text that first stands earlier: only texts that come before all their neighbours remain. Lines of fewer
+    than min_length code points are compared for equality only; by default all lines are compared for nearness.
     """
+    if not 0 <= edits <= 14:
+        raise ValueError("from 0 to 14 edits: the automaton's band is kept in the bits of an int")
     spark = docs.sparkSession
     ship_package(spark)
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = _lines(only)
     place = F.struct("doc_id", "at")
-    firsts = stored(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
-    again = stored(firsts.where("n > 1").drop("n"), "line-again")
+    firsts = stored(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.count("*").alias("n")), "line-firsts")
+    total = firsts.count()  # bounds the tables of one row a text
+    again = stored(firsts.where("n > 1").select("h", "g", "first"), "line-again", total)
     # Of equal lines the first alone is indexed and probes; rows that share its place tie and are merged below.
-    once = lines.where(F.col("length") >= MIN_NEAR).join(small(again, 48), ["h", "g"], "left").where(F.col("first").isNull() | (F.col("first") == place))
+    once = lines.where(F.col("length") >= min_length).join(small(again, 48), ["h", "g"], "left").where(F.col("first").isNull() | (F.col("first") == place))
     keyed = _with_keys(once, edits)
     # A segment that no other line shares finds nothing: only keys with two lines go on. One exchange by key.
     over = W.partitionBy("key")
     met = keyed.withColumns({"_lo": F.min("h").over(over), "_hi": F.max("h").over(over), "_any": F.max("indexed").over(over)}).where("_lo < _hi and _any").drop("_lo", "_hi", "_any")
-    met = stored(met.distinct(), "line-met")
-    wanted = stored(met.select("h", "g").distinct(), "line-wanted")
-    texts = stored(lines.join(small(wanted, 32), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line")).withColumn("bag", _bag(F.col("line"))), "line-texts")
-    bagged = met.join(texts.select("h", "g", "bag"), ["h", "g"])
-    i, p = bagged.where("indexed").alias("i"), bagged.alias("p")
+    met = stored(met.distinct(), "line-met", 4 * total)
+    wanted = stored(met.select("h", "g").distinct(), "line-wanted", total)
+    texts = stored(lines.join(small(wanted, 32), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line")).withColumn("bag", _bag(F.col("line"))), "line-texts", total)
+    i, p = (side.join(texts.select("h", "g", "bag"), ["h", "g"]).alias(n) for side, n in zip(_in_blocks(met), "ip", strict=True))
     gap = F.col("p.length") - F.col("i.length")
     # An edit changes two counts of a bag by one at most, so bags further apart cannot be within the edits.
     apart = F.aggregate(F.zip_with("i.bag", "p.bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
     other = (F.col("i.h") != F.col("p.h")) | (F.col("i.g") != F.col("p.g"))
-    pairs = i.join(p, (F.col("i.key") == F.col("p.key")) & (gap >= 0) & (gap <= edits) & other & (apart <= 2 * edits))
-    pairs = stored(pairs.select(F.col("i.h").alias("h"), F.col("i.g").alias("g"), F.col("p.h").alias("h2"), F.col("p.g").alias("g2")).distinct(), "line-pairs")
+    same = (F.col("i.key") == F.col("p.key")) & (F.col("i._ib") == F.col("p._ib")) & (F.col("i._pb") == F.col("p._pb"))
+    pairs = i.join(p, same & (gap >= 0) & (gap <= edits) & (F.col("p.length") > edits) & other & (apart <= 2 * edits))
+    pairs = stored(pairs.select(F.col("i.h").alias("h"), F.col("i.g").alias("g"), F.col("p.h").alias("h2"), F.col("p.g").alias("g2")).distinct(), "line-pairs", 4 * total)
     both = pairs.join(texts.select("h", "g", F.col("line").alias("a")), ["h", "g"]).join(texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("b")), ["h2", "g2"])
-    near = stored(with_near(both, "a", "b", edits).select("h", "g", "h2", "g2", "near"), "line-near")  # a filter before the write would copy the automaton into itself
+    near = stored(with_near(both, "a", "b", edits).select("h", "g", "h2", "g2", "near"), "line-near", 4 * total)  # a filter before the write would copy the automaton into itself
     true = near.where("near").drop("near")
     either = true.union(true.select("h2", "g2", "h", "g"))
     first = firsts.select("h", "g", "first")
-    earlier = either.join(first, ["h", "g"]).join(first.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("first").alias("first2")), ["h2", "g2"]).where("first2 < first").select("h", "g").distinct().withColumn("near", F.lit(True))
+    earlier = either.join(first, ["h", "g"]).join(first.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("first").alias("first2")), ["h2", "g2"]).where("first2 < first").select("h", "g")
+    # Lines of at most edits code points are all near each other: all but the first text go.
+    tiny = firsts.where((F.col("length") <= edits) & (F.col("length") >= min_length))
+    least = tiny.agg(F.min("first").alias("_least"))  # one row
+    earlier = earlier.union(tiny.join(F.broadcast(least), F.col("first") > F.col("_least")).select("h", "g")).distinct().withColumn("near", F.lit(True))
     # What can lose a line: texts that occur again, and those with an earlier neighbour.
-    judged = stored(firsts.join(earlier, ["h", "g"], "left").where("n > 1 or near"), "line-judged")
+    judged = stored(firsts.join(earlier, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first", "near"), "line-judged", total)
     hit = lines.drop("line", "length").join(small(judged, 64), ["h", "g"]).where((place != F.col("first")) | F.coalesce("near", F.lit(False)))
     out = stored(hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("dropped")), "line-dropped")
     drop_stored(again, met, pairs, wanted, texts, near, firsts, judged)
     return out
 
 
-def deduped_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def unused(columns: list[str], name: str) -> str:
+    """name with as many underscores as it takes to be none of columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def deduped_lines(docs: DataFrame, edits: int = EDITS, min_length: int = 0) -> DataFrame:
     """docs with text rid of its dropped lines, and n_lines (lines with a word) and n_dropped. Lines without a word stay.
 
     A null text stays null and an empty one empty. Rows that share a doc_id are read as one document: at the same line
-    number they tie, and both keep a first line. Rows without a doc_id come first and are one document too. A document that loses every line
-    keeps an empty text or its blank lines. An empty table gives an empty one; other columns stay.
+    number they tie, and both keep a first line. Rows without a doc_id come first and are one document too. A document that
+    loses every line keeps an empty text or its blank lines. A very long text is a row in one task, read in time in proportion
+    to its length. An empty table gives an empty one; other columns stay, but n_lines and n_dropped replace columns of these
+    names.
     """
-    dropped = dropped_lines(docs, edits)
-    lost = small(dropped.select(F.col("doc_id").alias("_lost_id"), F.col("dropped").alias("_lost")), 64)
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col("_lost_id")), "left")
-    lines = F.split(docs["text"].cast("string"), "\n")
+    dropped = dropped_lines(docs, edits, min_length)
+    key, gone_at = unused(docs.columns, "lost_id"), unused(docs.columns, "lost")
+    lost = small(dropped.select(F.col("doc_id").alias(key), F.col("dropped").alias(gone_at)), 64)
+    joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(f"`{key}`")), "left")
+    text = F.col("text").cast("string")
+    lines, gone = F.split(text, "\n"), F.coalesce(F.col(f"`{gone_at}`"), F.array().cast("array<int>"))
     words = F.size(F.filter(lines, lambda s: s.rlike(WORD)))
-    gone = F.coalesce(F.col("_lost"), F.array().cast("array<int>"))
-    kept = F.when(F.size(gone) == 0, docs["text"]).otherwise(F.array_join(F.filter(lines, lambda s, i: ~F.array_contains(gone, i)), "\n"))
-    return joined.select(*(kept.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns), F.when(docs["text"].isNull(), 0).otherwise(words).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
+    # The runs of lines between the dropped ones.
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    own = ("n_lines", "n_dropped")
+    counts = (F.when(F.col("text").isNull(), 0).otherwise(words).cast("long").alias(own[0]), F.size(gone).cast("long").alias(own[1]))
+    return joined.select(*(kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in own), *counts)

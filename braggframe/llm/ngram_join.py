@@ -10,7 +10,7 @@ Every text is the set of its distinct word shingles (64-bit hashes). Texts with
    alone find every (node, group) pair to look at;
 4. stores the token-group matrix: a row a group with its token union, ascending, and the members of each of its tokens;
 5. bounds each query's overlap with a group by its tokens in the group's union. Only where that reaches t * n is the group
-   opened: the members of the tokens found give the exact overlap with each member;
+   opened: the members of the tokens found give the exact overlap with each member (a union of one member is that itself);
 6. takes the components of all links.
 
 A group is stored in chunks of at most CHUNK members and about CHUNK_TOKENS tokens, and probed by at most QUERIES queries at
@@ -34,7 +34,7 @@ from .shingles import bands_of, shingle_sets
 BANDS, ROWS, BANDS_SHARED = 12, 4, 2
 #: Nodes of a bucket that are put in order together.
 SALTED = 4096
-CHUNK, CHUNK_TOKENS, QUERIES = 256, 1 << 20, 2048
+CHUNK, CHUNK_TOKENS, QUERIES = 1024, 2 << 20, 4096
 #: Tokens that are put in order together, and different tokens of a chunk of documents among which recurring ones are counted.
 SORTED, COUNTED = 1 << 18, 1 << 20
 #: At most so many recurring tokens are put last in the order, the most frequent ones.
@@ -126,7 +126,7 @@ def _prefixes(width: int, percent: int, late: np.ndarray) -> Callable[[Iterator[
 
 
 _MATRIX = "grp long, chunk int, union array<long>, docs array<long>, sizes array<long>, counts array<int>, members array<int>"
-_PROBED = "doc_id long, grp long, chunk int, block int, n long, at array<int>"
+_PROBED = "doc_id long, grp long, chunk int, block int, n long, other long, steps array<int>"
 
 
 def _ints(arrays: list[np.ndarray]) -> pa.Array:
@@ -167,24 +167,31 @@ def _array(col: pa.Array, i: int, kind: type) -> np.ndarray:
 
 
 def _probing(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A union comes before its queries. Queries whose tokens in the union reach percent of their own, and the places of these tokens."""
+    """A union comes before its queries. Queries whose tokens in the union reach percent of their own, and the places of these tokens.
+
+    Places are given as steps from the one before, small numbers. Of a union of one member the overlap is exact: if the two are
+    similar, other is that member, and there is nothing to open.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, union = None, None
+        key, union, only = None, None, None
+        none = np.zeros(0, np.int32)
         for batch in batches:
             out = []
             unions = column(batch, "union")
-            keys = (column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "doc_id"))
-            for i, (*k, doc, s) in enumerate(zip(*keys, shingle_sets(column(batch, "text"), width), strict=True)):
+            keys = (column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "doc_id", "only"))
+            for i, (*k, doc, one, s) in enumerate(zip(*keys, shingle_sets(column(batch, "text"), width), strict=True)):
                 if doc is None:
-                    key, union = k, _array(unions, i, np.int64).view(np.uint64)
+                    key, union, only = k, _array(unions, i, np.int64).view(np.uint64), one
                 elif k == key:
                     at = np.searchsorted(union, s)
                     at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == s)]
-                    if 100 * len(at) >= percent * len(s):
-                        out.append((doc, *k, len(s), at))
-            arrays = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*arrays, _ints([r[5] for r in out])], ["doc_id", "grp", "chunk", "block", "n", "at"])
+                    if only is None and 100 * len(at) >= percent * len(s):
+                        out.append((doc, *k, len(s), None, np.diff(at, prepend=0)))
+                    elif only not in (None, doc) and 100 * len(at) >= percent * (len(union) + len(s) - len(at)):
+                        out.append((doc, *k, len(s), only, none))
+            arrays = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*arrays, _ints([r[6] for r in out])], ["doc_id", "grp", "chunk", "block", "n", "other", "steps"])
 
     return run
 
@@ -196,13 +203,13 @@ def _opening(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         key, docs, sizes, ends, members = None, None, None, None, None
         for batch in batches:
             links = []
-            lists = {c: column(batch, c) for c in ("docs", "sizes", "counts", "members", "at")}
+            lists = {c: column(batch, c) for c in ("docs", "sizes", "counts", "members", "steps")}
             for i, (*k, doc, n) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "doc_id", "n")), strict=True)):
                 if doc is None:
                     key, docs, sizes = k, _array(lists["docs"], i, np.int64), _array(lists["sizes"], i, np.int64)
                     ends, members = np.cumsum(_array(lists["counts"], i, np.int64)), _array(lists["members"], i, np.int32)
                 elif k == key:
-                    at = _array(lists["at"], i, np.int64)
+                    at = np.cumsum(_array(lists["steps"], i, np.int64))
                     b = ends[at]
                     a = np.where(at > 0, ends[at - 1], 0)
                     take = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
@@ -231,15 +238,17 @@ def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, total
     matrix = stored(held.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(_unions(width), _MATRIX), "ngram-matrix")
     blocks = rows.where("role = 0").select("grp", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).distinct()
     place, null = ["grp", "chunk", "block"], lambda t: F.lit(None).cast(t)
-    unions = matrix.select("grp", "chunk", "union").join(blocks, ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("string").alias("text"), "union")
-    asking = some.where("role = 1").select("grp", "chunk", F.col("blocks").alias("block"), "doc_id", "text", null("array<long>").alias("union"))
+    only = F.when(F.size("docs") == 1, F.get("docs", F.lit(0)))
+    unions = matrix.select("grp", "chunk", "union", only.alias("only")).join(blocks, ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), "only", null("string").alias("text"), "union")
+    asking = some.where("role = 1").select("grp", "chunk", F.col("blocks").alias("block"), "doc_id", null("long").alias("only"), "text", null("array<long>").alias("union"))
     probe = unions.unionByName(asking).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id"))
     probed = stored(probe.mapInArrow(_probing(width, percent), _PROBED), "ngram-probed")
-    lists = ["docs", "sizes", "counts", "members"]
-    opened = matrix.drop("union").join(probed.select(*place).distinct(), ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("long").alias("n"), null("array<int>").alias("at"), *lists)
+    lists, reached = ["docs", "sizes", "counts", "members"], probed.where("other is null")
+    opened = matrix.drop("union").join(reached.select(*place).distinct(), ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("long").alias("n"), null("array<int>").alias("steps"), *lists)
     kinds = dict(matrix.dtypes)
-    finding = probed.select(*place, "doc_id", "n", "at", *(null(kinds[c]).alias(c) for c in lists))
+    finding = reached.select(*place, "doc_id", "n", "steps", *(null(kinds[c]).alias(c) for c in lists))
     links = opened.unionByName(finding).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id")).mapInArrow(_opening(percent), "a long, b long")
+    links = links.unionByName(probed.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     out = stored(links.distinct(), "ngram-links")
     drop_stored(rows, wanted, matrix, probed)
     return out

@@ -144,8 +144,14 @@ def placed(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
                 gaps = gaps.unionByName(spark.range(made, made + count).select((2 * F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("size")))
                 rooms[capacity] = rooms.get(capacity, 0) + count
                 made += count
-            rows = sum(want.values()) + sum(many * max(1, room // high) for room, many in rooms.items() if room >= shortest)
-            found, left = _round(left, gaps.where(F.col("size") >= shortest), high, rows)
+            # The smallest gaps that hold the longest piece, one a piece, are enough for all; larger ones would stay untouched.
+            widest, spare = capacity, sum(want.values())
+            for room in sorted(r for r in rooms if r >= max(want)):
+                widest, spare = room, spare - rooms[room]
+                if spare <= 0:
+                    break
+            rows = sum(want.values()) + sum(many * max(1, room // high) for room, many in rooms.items() if shortest <= room <= widest)
+            found, left = _round(left, gaps.where((F.col("size") >= shortest) & (F.col("size") <= widest)), high, rows)
             used = found.groupBy("seq").agg(F.sum("length").alias("_used"))
             gaps = stored(gaps.join(used, "seq", "left").select("seq", (F.col("size") - F.coalesce("_used", F.lit(0))).alias("size")).where("size > 0"), "pack-gaps")
             out = out.unionByName(found.select("id", "seq"))

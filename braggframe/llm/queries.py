@@ -11,6 +11,8 @@ from . import chat, html_text, lines, media, ngram_join, oracle, packing, pieces
 
 SHARDS = 24
 CAPACITY, END_ID = 1024, 2
+#: Labelled documents that the references of the quality rules are fitted on.
+REFERENCE_ROWS = 8000
 
 
 def vocabulary(name: str) -> str:
@@ -56,9 +58,14 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted_pages(_table(spark, sf_dir, "pages"))
 
 
+def references(spark: SparkSession, sf_dir: str) -> quality.References:
+    """Fitted on labelled good documents, REFERENCE_ROWS at most: those of the smallest doc_id."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").orderBy("doc_id").limit(REFERENCE_ROWS)
+    return quality.fitted(_table(spark, sf_dir, "documents").join(F.broadcast(good), "doc_id", "left_semi"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kept is the verdict that the SQL words (kept_guarded); the operator's own kept, which the pipeline takes, rejects more."""
-    judged = quality.judged(_table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept").withColumnRenamed("kept_guarded", "kept")
+    judged = quality.judged(_table(spark, sf_dir, "documents"), ["doc_id"], references=references(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -74,4 +81,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_chat_format, op4_sharding, op5_sentencepiece, op6_best_fit, op7_html_extraction, op8_quality_rules, op9_warc, op10_media_columns)}
 
 
-oracle_sql = oracle.oracle_sql
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql(REFERENCE_ROWS)
