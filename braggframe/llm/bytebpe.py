@@ -15,8 +15,8 @@ from functools import lru_cache
 import numpy as np
 import tiktoken
 
-#: About so many chunks are kept; later ones are encoded anew.
-KEPT = 200_000
+#: Characters of the chunks that are kept, and of the longest such chunk; others are encoded anew.
+KEPT_CHARS, KEPT_LONGEST = 2 << 20, 64
 _ODD = ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0     　", *map(chr, range(0x2000, 0x200B)))
 BLANK = (" ", "\n")
 MARKS = ".,;:!?"
@@ -32,6 +32,7 @@ class ByteTokens:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = (*_ODD, *self.special)
         self.kept: dict[str, bytes] = {}
+        self.kept_chars = 0
         self.words = self._own()
         self.marks = {m: array("I", self.words.encode_ordinary(m)).tobytes() for m in MARKS}
 
@@ -94,8 +95,12 @@ class ByteTokens:
             if x is not None:
                 for i in x[1]:
                     x[0][i] = fresh[x[2][i]]
-        if len(self.kept) < KEPT:  # the frequent chunks come early
-            self.kept.update(fresh)
+        for chunk, ids in fresh.items():  # the frequent chunks come early
+            if self.kept_chars >= KEPT_CHARS:
+                break
+            if len(chunk) <= KEPT_LONGEST:
+                self.kept[chunk] = ids
+                self.kept_chars += len(chunk)
         odd = iter(self._ids(whole)) if whole else iter(())
         return [next(odd) if x is None else b"".join(x[0]) for x in lists]
 

@@ -1,16 +1,20 @@
 """Main text of web pages by consensus of their hosts.
 
 Each page's containers are scored by the text of their own blocks; a container inside an article stands for the whole of
-it; each page gives its best containers' generalised tag-class paths votes. Spark sums the votes of a host and path (a partial aggregate) and keeps the host's winner. Then
-every page is read again: the elements at its host's winning path are the main text; a page that has none takes its own
-best container.
+it; every container with a score gives its generalised tag-class path votes in proportion. Spark sums the votes of a host and
+path (a partial aggregate) and keeps the host's winner. Then every page is read again: the elements at its host's winning path
+are the main text; a page that has none takes its own best container.
+
+Pages are read in one scan, in time in proportion to their length however they are nested or broken off. A path is a chained
+hash of its steps, so that a node of any depth holds one number.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, column, small, stored
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)/?\s*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_TOKEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
+#: The end of a tag, or a quoted value.
+_STOP = re.compile(r""">|=\s*(["'])""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # Element names of the HTML standard, by what they mean here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,19 +45,34 @@ MAIN = set("article main content post entry story".split())
 #: A class that says that a page has or lacks something is no sign of it.
 ABOUT = {"has", "with", "no", "without", "is", "not"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
-#: Containers of a page that vote.
-VOTERS = 3
+
+
+def path_of(steps: list[str]) -> int:
+    """The hash of a path, chained from its root."""
+    path = 0
+    for step in ["", *steps]:
+        path = _step(path, step)
+    return path
+
+
+def _step(path: int, step: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}/{step}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
 class _Node:
-    #: own is the link text of the blocks that the node contains itself.
-    __slots__ = ("tag", "path", "parent", "out", "own", "linked", "inside")
+    """An element. own: link text of the blocks that it contains itself; linked: link text right in it; box: its nearest block;
+    outer: its nearest element that is no part of a list or table."""
+
+    __slots__ = ("tag", "path", "parent", "out", "own", "linked", "inside", "depth", "box", "outer", "order")
 
     def __init__(self, tag: str, step: str, parent: _Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
-        self.path = f"{parent.path}/{step}" if parent else step
-        self.own = self.linked = 0
+        self.path = _step(parent.path if parent else 0, step)
+        self.own = self.linked = self.order = 0
         self.inside = parent.inside if parent else False
+        self.depth = parent.depth + 1 if parent else 0
+        self.box = self if tag in BLOCK or parent is None else parent.box
+        self.outer = parent.outer if parent and tag in INNER else self
 
 
 def _words(value: str) -> list[str]:
@@ -80,194 +101,207 @@ def _made(tag: str, attributes: str, parent: _Node | None) -> _Node:
     return _Node(tag, step, parent, out or (parent.out if parent else False))
 
 
-def blocks_of(page: str) -> list[tuple[_Node, str]]:
-    """The blocks of text in page order, each with its container; what stands in an outside element is left out."""
-    root = _Node("#", "", None, False)
-    top, out, held = root, [], []
-    at = 0
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The place after the ">" that ends a tag; one in a quoted value does not, unless the quote is never closed. -1: none."""
+    begin = at
+    while m := _STOP.search(page, at):
+        if not m[1]:
+            return m.end()
+        if m.end() > last[m[1]]:
+            return page.find(">", begin) + 1 or -1
+        at = page.index(m[1], m.end()) + 1
+    return page.find(">", begin) + 1 or -1
+
+
+class _Page:
+    """The elements of a page, parents first, and its blocks of text in page order, each with its container; what stands in an
+    outside element is left out."""
+
+    def __init__(self, page: str):
+        self.root = self.top = _Node("#", "", None, False)
+        self.nodes = [self.root]
+        self.blocks: list[tuple[_Node, str]] = []
+        self.held: list[str] = []
+        self.open: dict[str, list[_Node]] = {}
+        last = {q: page.rfind(q) for q in "\"'"}
+        at, n = 0, len(page)
+        while m := _TOKEN.search(page, at):
+            self.add(page[at : m.start()])
+            at = m.end()
+            if m[2]:
+                end = _tag_end(page, at, last)
+                if end < 0:
+                    at = m.start()
+                    break
+                at = self.tag(page, bool(m[1]), m[2].lower(), page[at : end - 1], end)
+            elif m[0] == "<!--":
+                end = page.find("-->", at)
+                at = end + 3 if end >= 0 else n
+            elif m[0] == "<![CDATA[":
+                end = page.find("]]>", at)
+                self.add(html.escape(page[at : end if end >= 0 else n]))
+                at = end + 3 if end >= 0 else n
+            else:
+                at = page.find(">", at) + 1 or n
+        self.add(page[at:])
+        self.flush()
+
+    def flush(self) -> None:
+        text = " ".join(html.unescape("".join(self.held)).split())
+        self.held.clear()
         if text:
-            box = top
-            while box.parent and box.tag not in BLOCK:
-                box = box.parent
-            out.append((box, text))
-
-    def add(raw: str) -> None:
-        if raw and not top.out:
-            held.append(raw)
-            if top.inside and raw.strip():
-                top.linked += len(raw)
-                box = top
-                while box.parent and box.tag not in BLOCK:
-                    box = box.parent
-                box.own += len(raw)
-
-    def close(tag: str, upto: set[str]) -> None:
+            self.blocks.append((self.top.box, text))
+
+    def add(self, raw: str) -> None:
+        if raw and not self.top.out:
+            self.held.append(raw)
+            if self.top.inside and raw.strip():
+                self.top.linked += len(raw)
+                self.top.box.own += len(raw)
+
+    def close(self, tag: str, upto: set[str]) -> None:
         """Closes the nearest open element of that name, unless one of upto stands before it."""
-        nonlocal top
-        x = top
-        while x.parent and x.tag != tag:
-            if x.tag in upto:
-                return
-            x = x.parent
-        if x.parent:
-            if tag in BLOCK:
-                flush()
-            top = x.parent
-
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag = tag.lower()
+        found = self.open.get(tag)
+        if not found or any((o := self.open.get(u)) and o[-1].depth > found[-1].depth for u in upto if u != tag):
+            return
+        if tag in BLOCK:
+            self.flush()
+        self.leave(found[-1].parent)
+
+    def leave(self, to: _Node) -> None:
+        while self.top is not to:
+            self.open[self.top.tag].pop()
+            self.top = self.top.parent
+
+    def tag(self, page: str, slash: bool, tag: str, attributes: str, at: int) -> int:
         if slash:
             if tag == "br":
-                add(" ")
-            close(tag, {"table"} if tag not in ("table", "html", "body") else set())
-            continue
+                self.add(" ")
+            self.close(tag, {"table"} if tag not in ("table", "html", "body") else set())
+            return at
         if tag in ("br", "hr", "wbr", "img"):
             if tag == "hr":
-                flush()
-            elif tag != "wbr":
-                add(" " if tag == "br" else "")
-            continue
+                self.flush()
+            elif tag == "br":
+                self.add(" ")
+            return at
         if tag in VOID:
-            continue
+            return at
         if tag in PARAGRAPH_ENDS:
-            close("p", {"table", "button"})
+            self.close("p", {"table", "button"})
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             for same in {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(tag, (tag,)):
-                close(same, {"ul", "ol", "dl", "table", "select"} | ({"tr"} if tag in ("td", "th") else set()))
+                self.close(same, {"ul", "ol", "dl", "table", "select"} | ({"tr"} if tag in ("td", "th") else set()))
         if tag in BLOCK:
-            flush()
+            self.flush()
         if tag == "body":
-            while top.parent and top.tag != "html":
-                top = top.parent
-        node = _made(tag, attributes or "", top)
-        node.inside = node.inside or tag == "a"
+            roots = self.open.get("html")
+            self.leave(roots[-1] if roots else self.root)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if not m[0].endswith("/>") or tag in BLOCK:
-            top = node
-    add(page[at:])
-    flush()
-    return out
-
-
-def _scored(blocks: list[tuple[_Node, str]]) -> dict[int, tuple[float, _Node]]:
-    """Scores of the containers: a paragraph's text counts for its parent, half for the one above; link text counts against."""
-    scores: dict[int, tuple[float, _Node]] = {}
-    for box, text in blocks:
-        if box.out:
-            continue
-        weight = (len(text) - 2 * min(len(text), box.linked)) * (1.0 if box.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "td", "dd") else 0.8)
-        x = box.parent if box.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li") and box.parent else box
-        while x.tag in INNER and x.parent:
-            x = x.parent
-        for share in (1.0, 0.5, 0.25):
-            if x is None or x.tag in ("#", "html"):
-                break
-            favour = {"article": 1.5, "main": 1.3, "body": 0.7}.get(x.tag, 1.0)
-            scores[id(x)] = (scores.get(id(x), (0.0,))[0] + share * weight * favour, x)
-            x = x.parent
-    return scores
-
-
-def _sums(blocks: list[tuple[_Node, str]]) -> dict[int, tuple[int, int]]:
-    """Characters of text and of link text below each element, outside ones left out."""
-    boxes: dict[int, tuple[int, _Node]] = {}
-    for box, text in blocks:
-        if not box.out:
-            boxes[id(box)] = (boxes.get(id(box), (0,))[0] + len(text), box)
-    sums: dict[int, tuple[int, int]] = {}
-    for n, box in boxes.values():
-        x, linked = box, min(n, box.own)
-        while x is not None:
-            old = sums.get(id(x), (0, 0))
-            sums[id(x)] = (old[0] + n, old[1] + linked)
-            x = x.parent
-    return sums
-
-
-def _whole(node: _Node, sums: dict[int, tuple[int, int]]) -> _Node:
-    """The container of the whole article that node is the densest part of.
-
-    That is the article or main around it, or a main around that; without one, the ancestors below the body. Of these, one
-    is taken as long as what it adds is text, and not mostly links.
-    """
+            return end.end() if end else len(page)
+        if not attributes.endswith("/") or tag in BLOCK:
+            node = _made(tag, attributes, self.top)
+            node.inside = node.inside or tag == "a"
+            node.order = len(self.nodes)
+            self.nodes.append(node)
+            self.open.setdefault(tag, []).append(node)
+            self.top = node
+        return at
+
+    def scores(self) -> dict[int, float]:
+        """Scores of the containers, by node: a paragraph's text counts for its parent, half for the one above; link text counts against."""
+        scores: dict[int, float] = {}
+        for box, text in self.blocks:
+            if box.out:
+                continue
+            weight = (len(text) - 2 * min(len(text), box.linked)) * (1.0 if box.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "td", "dd") else 0.8)
+            x = box.parent if box.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li") and box.parent else box
+            x = x.outer
+            for share in (1.0, 0.5, 0.25):
+                if x is None or x.tag in ("#", "html"):
+                    break
+                scores[x.order] = scores.get(x.order, 0.0) + share * weight * {"article": 1.5, "main": 1.3, "body": 0.7}.get(x.tag, 1.0)
+                x = x.parent
+        return scores
+
+    def wholes(self) -> list[int]:
+        """For each node the container of the whole article that it would be the densest part of.
+
+        That is the article or main around it, or a main around that; without one, the ancestors below the body. Of these,
+        one is taken as long as what it adds is text, and not mostly links. Parents come first, so each node has the answer
+        from the next container above it.
+        """
+        text, links = [0] * len(self.nodes), [0] * len(self.nodes)
+        for box, t in self.blocks:
+            if not box.out:
+                text[box.order] += len(t)
+        for x in reversed(self.nodes):
+            if text[x.order]:
+                links[x.order] += min(text[x.order], x.own)
+            if x.parent:
+                text[x.parent.order] += text[x.order]
+                links[x.parent.order] += links[x.order]
+        # The nearest node from here up that may stand for more: any, or an article or main.
+        above: dict[bool, list[int]] = {True: [-1] * len(self.nodes), False: [-1] * len(self.nodes)}
+        climbed: dict[bool, list[int]] = {True: [0] * len(self.nodes), False: [0] * len(self.nodes)}
+        for x in self.nodes:
+            i, up = x.order, x.parent.order if x.parent else -1
+            end = x.tag in ("#", "html", "body")
+            for marked in (True, False):
+                fits = not end and (x.tag in ("article", "main") if marked else x.tag not in INNER)
+                above[marked][i] = i if fits else -1 if end or up < 0 else above[marked][up]
+                y = -1 if end or up < 0 else above[marked][up]
+                adds = y >= 0 and 2 * (links[y] - links[i]) <= text[y] - text[i]
+                climbed[marked][i] = climbed[marked][y] if adds else i
+        return [climbed[True][above[True][i]] if above[True][i] >= 0 else climbed[False][i] for i in range(len(self.nodes))]
+
+    def below(self, picked: Callable[[_Node], bool]) -> list[str]:
+        """Text of the blocks in picked elements."""
+        inside = [False] * len(self.nodes)
+        for x in self.nodes:
+            inside[x.order] = picked(x) or (x.parent is not None and inside[x.parent.order])
+        return [text for box, text in self.blocks if inside[box.order] and not box.out]
+
+
+def blocks_of(page: str) -> list[tuple[_Node, str]]:
+    return _Page(page).blocks
 
-    def up(x: _Node | None, tags: set[str] | None) -> _Node | None:
-        while x is not None and x.tag not in ("#", "html", "body"):
-            if (x.tag in tags) if tags else (x.tag not in INNER):
-                return x
-            x = x.parent
-        return None
-
-    marked = {"article", "main"} if (found := up(node, {"article", "main"})) else None
-    whole = found or node
-    while whole.tag not in ("#", "html", "body") and (x := up(whole.parent, marked)):
-        text, linked = (a - b for a, b in zip(sums.get(id(x), (0, 0)), sums.get(id(whole), (0, 0)), strict=True))
-        if 2 * linked > text:
-            break
-        whole = x
-    return whole
-
-
-def best_paths(page: str) -> list[tuple[str, int]]:
-    """The paths of a page's best containers with votes: 1000 for the best, in proportion for the others."""
-    by_path: dict[str, float] = {}
-    first: dict[str, tuple[float, _Node]] = {}
-    blocks = blocks_of(page)
-    for score, node in _scored(blocks).values():
+
+def best_paths(page: str) -> list[tuple[int, int]]:
+    """The paths of a page's containers with votes: 1000 for the best, in proportion for the others, to those that stand for the whole."""
+    p = _Page(page)
+    by_path: dict[int, float] = {}
+    first: dict[int, tuple[float, _Node]] = {}
+    for i, score in p.scores().items():
+        node = p.nodes[i]
         by_path[node.path] = by_path.get(node.path, 0.0) + score
         if node.path not in first or score > first[node.path][0]:
             first[node.path] = (score, node)
-    top = sorted(((s, p) for p, s in by_path.items() if s > 0), key=lambda x: (-x[0], x[1]))[:VOTERS]
-    votes: dict[str, int] = {}
-    sums = _sums(blocks) if top else {}
-    for s, p in top:
-        votes.setdefault(_whole(first[p][1], sums).path, int(1000 * s / top[0][0]))
+    top = sorted(((s, path) for path, s in by_path.items() if s > 0), key=lambda x: (-x[0], x[1]))
+    wholes = p.wholes() if top else []
+    votes: dict[int, int] = {}
+    for s, path in top:
+        votes.setdefault(p.nodes[wholes[first[path][1].order]].path, int(1000 * s / top[0][0]))
     return list(votes.items())
 
 
-def main_text(page: str, path: str | None) -> str:
+def main_text(page: str, path: int | None) -> str:
     """Blocks below the elements at path, joined by one space; of a page without such an element, below its best container."""
-    blocks = blocks_of(page)
-
-    def below(test) -> list[str]:
-        out = []
-        for box, text in blocks:
-            x = box
-            while x is not None and not test(x):
-                x = x.parent
-            if x is not None and not box.out:
-                out.append(text)
-        return out
-
-    found = below(lambda x: x.path == path) if path else []
-    if not found:
-        scores = _scored(blocks)
-        if scores:
-            best = _whole(max(scores.values(), key=lambda s: (s[0], -len(s[1].path)))[1], _sums(blocks))
-            found = below(lambda x: x is best)
+    p = _Page(page)
+    found = p.below(lambda x: x.path == path) if path is not None else []
+    if not found and (scores := p.scores()):
+        best = p.wholes()[max(scores.items(), key=lambda s: (s[1], -p.nodes[s[0]].depth, -s[0]))[0]]
+        found = p.below(lambda x: x.order == best)
     if not found:
-        found = [text for box, text in blocks if not box.out]
+        found = [text for box, text in p.blocks if not box.out]
     return " ".join(found)
 
 
 def _voting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(h, p, v) for h, page in zip(column(batch, "host").to_pylist(), column(batch, "html").to_pylist(), strict=True) for p, v in best_paths(page or "")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "path", "votes"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "path", "votes"])
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +316,9 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and path: the path with the most votes of the host's pages, the first in order among equals."""
+    """host and path (a hash): the path with the most votes of the host's pages, the smallest among equals."""
     bounded_batches(pages.sparkSession)
-    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_voting, "host string, path string, votes long")
+    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_voting, "host string, path long, votes long")
     summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
 
@@ -292,7 +326,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extracted_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep columns of pages, text (empty if none) and n_chars.
 
-    A null or empty html has an empty text. A null url is a host of its own kind, the empty one. Rows that repeat stay.
+    A null or empty html has an empty text. A null url is a host of its own kind, the empty one. Rows that repeat stay, and vote
+    each. A very long page is read in one task, in time and memory in proportion to its length. Other columns of pages are
+    ignored, whatever their names. An empty table gives an empty one.
     """
     winners = stored(host_paths(pages), "host-paths")
     names = [f"_keep{i}" for i in range(len(keep))]

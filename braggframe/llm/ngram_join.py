@@ -8,7 +8,8 @@ Every text is the set of its distinct word shingles (64-bit hashes). Texts with
 3. orders tokens, the recurring ones last, so that a passage that many documents share lies outside almost every
    prefix. Two sets of the asked similarity share a token among the first n - ceil(t * n) + 1 of each, so the prefixes
    alone find every (node, group) pair to look at;
-4. stores the token-group matrix: a row a group with its token union, ascending, and the members of each of its tokens;
+4. stores the token-group matrix: a row a group with its token union, ascending, and the members of each of its tokens (a
+   group of one is its text, which spells its union in less space);
 5. bounds each query's overlap with a group by its tokens in the group's union. Only where that reaches t * n is the group
    opened: the members of the tokens found give the exact overlap with each member (a union of one member is that itself);
 6. takes the components of all links.
@@ -125,7 +126,7 @@ def _prefixes(width: int, percent: int, late: np.ndarray) -> Callable[[Iterator[
     return run
 
 
-_MATRIX = "grp long, chunk int, union array<long>, docs array<long>, sizes array<long>, counts array<int>, members array<int>"
+_MATRIX = "grp long, chunk int, blocks int, union array<long>, docs array<long>, sizes array<long>, counts array<int>, members array<int>"
 _PROBED = "doc_id long, grp long, chunk int, block int, n long, other long, steps array<int>"
 
 
@@ -138,18 +139,18 @@ def _ints(arrays: list[np.ndarray]) -> pa.Array:
 def _unions(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Members come sorted by group and chunk; a row of the matrix for each: the union, and for each of its tokens how many and which members."""
 
-    def row(key: tuple[int, int], docs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def row(key: tuple[int, int, int], docs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         union, counts = np.unique(flat, return_counts=True)
         members = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), _lists([union]), _lists([np.array(docs, np.int64)]), _lists([sizes]), _ints([counts]), _ints([members])], ["grp", "chunk", "union", "docs", "sizes", "counts", "members"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), _lists([union]), _lists([np.array(docs, np.int64)]), _lists([sizes]), _ints([counts]), _ints([members])], ["grp", "chunk", "blocks", "union", "docs", "sizes", "counts", "members"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs, sets = None, [], []
         for batch in batches:
-            for *k, doc, s in zip(*(column(batch, c).to_pylist() for c in ("grp", "chunk", "doc_id")), shingle_sets(column(batch, "text"), width), strict=True):
+            for *k, doc, s in zip(*(column(batch, c).to_pylist() for c in ("grp", "chunk", "blocks", "doc_id")), shingle_sets(column(batch, "text"), width), strict=True):
                 if tuple(k) != key:
                     if docs:
                         yield row(key, docs, sets)
@@ -182,7 +183,8 @@ def _probing(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], I
             keys = (column(batch, c).to_pylist() for c in ("grp", "chunk", "block", "doc_id", "only"))
             for i, (*k, doc, one, s) in enumerate(zip(*keys, shingle_sets(column(batch, "text"), width), strict=True)):
                 if doc is None:
-                    key, union, only = k, _array(unions, i, np.int64).view(np.uint64), one
+                    key, only = k, one
+                    union = s if one is not None else _array(unions, i, np.int64).view(np.uint64)
                 elif k == key:
                     at = np.searchsorted(union, s)
                     at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == s)]
@@ -227,30 +229,31 @@ def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, total
     weight = members.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
     n = queries.groupBy("grp").agg(F.count("*").alias("queries")).join(weight, "grp")
-    n = n.select("grp", F.ceil(F.col("queries") / QUERIES).cast("int").alias("blocks"), F.least(chunks, F.col("members")).cast("int").alias("chunks"))
-    m = members.join(n, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "blocks", F.lit(0).alias("role"))
-    q = queries.join(n, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int").alias("blocks"), F.lit(1).alias("role"))
+    n = n.select("grp", F.ceil(F.col("queries") / QUERIES).cast("int").alias("blocks"), F.least(chunks, F.col("members")).cast("int").alias("chunks"), (F.col("members") == 1).alias("alone"))
+    m = members.join(n, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "blocks", F.when(F.col("alone"), 1).otherwise(0).alias("role"))
+    q = queries.join(n, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int").alias("blocks"), F.lit(2).alias("role"))
     rows = stored(m.unionByName(q), "ngram-rows")
     wanted = stored(rows.select("doc_id").distinct(), "ngram-wanted", total)
     # Texts travel rather than sets: they are smaller, and a set is made again in little time.
     some = texts.join(small(wanted, 16), "doc_id", "left_semi").join(small(rows, 40), "doc_id")
-    held = some.where("role = 0").select("doc_id", "grp", "chunk", "text")
-    matrix = stored(held.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(_unions(width), _MATRIX), "ngram-matrix")
-    blocks = rows.where("role = 0").select("grp", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).distinct()
     place, null = ["grp", "chunk", "block"], lambda t: F.lit(None).cast(t)
-    only = F.when(F.size("docs") == 1, F.get("docs", F.lit(0)))
-    unions = matrix.select("grp", "chunk", "union", only.alias("only")).join(blocks, ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), "only", null("string").alias("text"), "union")
-    asking = some.where("role = 1").select("grp", "chunk", F.col("blocks").alias("block"), "doc_id", null("long").alias("only"), "text", null("array<long>").alias("union"))
-    probe = unions.unionByName(asking).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id"))
+    each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    held = some.where("role = 0").select("doc_id", "grp", "chunk", "blocks", "text")
+    matrix = stored(held.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(_unions(width), _MATRIX), "ngram-matrix")
+    unions = matrix.select("grp", "chunk", each_block, null("long").alias("doc_id"), null("long").alias("only"), null("string").alias("text"), "union")
+    lone = some.where("role = 1").select("grp", "chunk", each_block, null("long").alias("doc_id"), F.col("doc_id").alias("only"), "text", null("array<long>").alias("union"))
+    asking = some.where("role = 2").select("grp", "chunk", F.col("blocks").alias("block"), "doc_id", null("long").alias("only"), "text", null("array<long>").alias("union"))
+    probe = unions.unionByName(lone).unionByName(asking).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id"))
     probed = stored(probe.mapInArrow(_probing(width, percent), _PROBED), "ngram-probed")
     lists, reached = ["docs", "sizes", "counts", "members"], probed.where("other is null")
-    opened = matrix.drop("union").join(reached.select(*place).distinct(), ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("long").alias("n"), null("array<int>").alias("steps"), *lists)
+    asked = stored(reached.select(*place).distinct(), "ngram-asked")
+    opened = matrix.drop("union").join(small(asked, 32), ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("long").alias("n"), null("array<int>").alias("steps"), *lists)
     kinds = dict(matrix.dtypes)
     finding = reached.select(*place, "doc_id", "n", "steps", *(null(kinds[c]).alias(c) for c in lists))
     links = opened.unionByName(finding).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id")).mapInArrow(_opening(percent), "a long, b long")
     links = links.unionByName(probed.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     out = stored(links.distinct(), "ngram-links")
-    drop_stored(rows, wanted, matrix, probed)
+    drop_stored(rows, wanted, matrix, probed, asked)
     return out
 
 

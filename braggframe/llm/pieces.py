@@ -3,10 +3,11 @@
 A model file is read directly: pieces, scores and kinds, and the normaliser's flags. Texts fall into words at each
 space (the mark U+2581) that follows another character, and at characters of no piece; no piece crosses either place,
 so a word's ids do not depend on its neighbours. The words of a batch that are new stand in one flat array of symbols.
-Each round looks up the score of every adjacent pair, takes for every word its best pair, the leftmost of equals, merges
-one pair in each word at once and compacts the array, until no word has a pair left. That is the order in which the
-library's queue merges a single word. Characters that no piece covers become byte pieces. Words are kept, within a
-bound, with their ids and their decoded text.
+Each round takes for every word its best pair, merges all its places that do not overlap, from the left, in all words at
+once, looks up the scores of the pairs that are new, and compacts the array, until no word has a pair left. The library's
+queue merges one place at a time: where a merge makes a pair as good as the round's own or better, that pair is next, so a word's
+round ends there. Characters that no piece covers become byte pieces. Words are kept, within a bound, with their ids and
+their decoded text.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, column, texts_of
 
 MARK = "▁"
-#: About so many words are kept; later ones are encoded anew.
-KEPT = 500_000
+#: Characters of the words that are kept, and of the longest such word; others are encoded anew.
+KEPT_CHARS, KEPT_LONGEST = 4 << 20, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+NONE = np.iinfo(np.int64).max
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -123,37 +125,60 @@ class PieceModel:
         text = text.replace(" ", MARK)
         return self.words.findall(MARK + text if self.prefix else text)
 
+    def _paired(self, left: np.ndarray, right: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE for no piece, or where the two are of different words) and symbol of the pairs."""
+        pair = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where((self.keys[at] == pair) & together, self.ranks[at], NONE), self.made[at]
+
     def merged(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word after its merges: flat arrays, one merge a word and round."""
+        """Symbols of each word after its merges."""
         get, unknown = self.symbols.get, self.unknown
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter((get(c, unknown) for w in words for c in w), np.int64, int(sizes.sum()))
         word = np.repeat(np.arange(len(words)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        none = np.iinfo(np.int64).max
+        rank, made = self._paired(flat, np.append(flat[1:], 0), np.append(word[1:] == word[:-1], False)) if len(flat) else (flat, flat)
         while len(flat) > 1:
-            pair = flat[:-1] * self.width + flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == pair) & (word[:-1] == word[1:]), self.ranks[at], none)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            rank = np.append(rank, none)
             best = np.minimum.reduceat(rank, first)
             lengths = np.diff(np.append(first, len(flat)))
-            alive = best < none
-            hit = np.flatnonzero((rank == np.repeat(best, lengths)) & (rank < none))
-            _, leftmost = np.unique(word[hit], return_index=True)
-            hit = hit[leftmost]
-            flat[hit] = self.made[at[hit]]
-            keep = np.ones(len(flat), bool)
+            least = np.repeat(best, lengths)
+            hit = np.flatnonzero((rank == least) & (rank < NONE))
+            keep = least < NONE  # words without a pair are done
+            done.append((word[~keep], flat[~keep]))
+            if not len(hit):
+                return self._split(words, done)
+            # Of places that overlap the first, the third and so on.
+            count = np.arange(len(hit))
+            begins = np.maximum.accumulate(np.where(np.append(True, np.diff(hit) != 1), count, 0))
+            hit = hit[(count - begins) % 2 == 0]
+            new, of = made[hit], word[hit]
+            # Pairs of the new symbol when its place is merged: those to its left are, those to its right are not yet.
+            touching = np.append(False, np.diff(hit) == 2)
+            left = np.where(touching, np.append(0, new[:-1]), flat[hit - 1])
+            after = np.minimum(hit + 2, len(flat) - 1)
+            a, _ = self._paired(left, new, (hit > 0) & (word[hit - 1] == of))
+            b, _ = self._paired(new, flat[after], (hit + 2 < len(flat)) & (word[after] == of))
+            stops = np.cumsum(np.minimum(a, b) <= least[hit])
+            earlier = np.append(0, stops[:-1])  # places that end their round, before each place
+            leads = np.maximum.accumulate(np.where(np.append(True, of[1:] != of[:-1]), np.arange(len(hit)), 0))
+            hit, new = (x[earlier == earlier[leads]] for x in (hit, new))
+            flat[hit] = new
             keep[hit + 1] = False
-            going = np.repeat(alive, lengths)
-            done.append((word[~going], flat[~going]))
-            flat, word = flat[keep & going], word[keep & going]
+            place = np.cumsum(keep) - 1
+            flat, word, rank, made, hit = flat[keep], word[keep], rank[keep], made[keep], place[hit]
+            for at in (hit, hit[hit > 0] - 1):
+                after = np.minimum(at + 1, len(flat) - 1)
+                rank[at], made[at] = self._paired(flat[at], flat[after], (after > at) & (word[after] == word[at]))
         done.append((word, flat))
-        words_done, flat_done = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-        order = np.argsort(words_done, kind="stable")
-        ends = np.searchsorted(words_done[order], np.arange(1, len(words) + 1))
-        return np.split(flat_done[order], ends[:-1])
+        return self._split(words, done)
+
+    @staticmethod
+    def _split(words: list[str], done: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        of, flat = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        order = np.argsort(of, kind="stable")
+        return np.split(flat[order], np.searchsorted(of[order], np.arange(1, len(words) + 1))[:-1])
 
     def encoded(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
@@ -194,6 +219,7 @@ class PieceCodec:
     def __init__(self, path: str):
         self.model = PieceModel(path)
         self.kept: dict[str, tuple[str, int, str]] = {}
+        self.kept_chars = 0
 
     def _entries(self, words: list[str]) -> list[tuple[str, int, str]]:
         m, out = self.model, []
@@ -231,8 +257,12 @@ class PieceCodec:
             ids, counts, parts = zip(*got, strict=True)
             text = "".join(parts)
             yield " ".join(ids), sum(counts), text[1:] if self.model.prefix and words[0][:1] == MARK else text
-        if len(self.kept) < KEPT:
-            self.kept.update(fresh)
+        for w, entry in fresh.items():
+            if self.kept_chars >= KEPT_CHARS:
+                break
+            if len(w) <= KEPT_LONGEST:
+                self.kept[w] = entry
+                self.kept_chars += len(w)
 
 
 @lru_cache(1)
@@ -263,7 +293,9 @@ def _coded(path: str, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def piece_coded(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), full: bool = True) -> DataFrame:
     """keep columns, n_tokens, ids (the end id last) and decoded, the text that the ids give; without full, SHA-256 digests of the two.
 
-    A null or empty text is the end id alone and decodes to nothing. Rows that repeat stay. Other columns are dropped.
+    A null or empty text is the end id alone and decodes to nothing. Rows that repeat stay, and are coded alike. A very long
+    text is coded in one task, one without spaces as one word, in a round for each different rank of its merges or a little
+    more. Other columns are dropped, whatever their names. An empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
     names = [f"_keep{i}" for i in range(len(keep))]
