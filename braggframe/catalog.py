@@ -98,15 +98,15 @@ def merge_mean(spark, sf_dir):
     return rounded(reflections.merged(observations(spark, sf_dir), KEYS), "value", "sigma")
 
 
-def _stats_sql(weights: str) -> str:
+def _stats_sql(weights: str, by: str = "shell") -> str:
     w = "1.0" if weights == "U" else "1 / (sigma * sigma)"
     below = "n * mean" if weights == "Y" else "sum_i"
     return f"""with o as (select *, {w} as w from {OBS} where sigma > 0),
 m as (select shell, h, k, l, isign, sum(w * value) / sum(w) as mean, sum(w * value * value) / sum(w) as mean_sq, count(*) as n, sum(value) as sum_i from o group by 1, 2, 3, 4, 5),
 g as (select m.*, d.dev from m join (select o.shell, o.h, o.k, o.l, o.isign, sum(abs(value - mean)) as dev from o join m on o.shell = m.shell and o.h = m.h and o.k = m.k and o.l = m.l and o.isign = m.isign group by 1, 2, 3, 4, 5) d
  on d.shell = m.shell and d.h = m.h and d.k = m.k and d.l = m.l and d.isign = m.isign),
-s as (select shell, sum(n) as all_refl, count(*) as unique_refl, count(*) filter (n > 1) as ns, sum(dev) filter (n > 1) as a, sum(dev * sqrt(n / (n - 1.0))) filter (n > 1) as b, sum(dev * sqrt(1 / (n - 1.0))) filter (n > 1) as c,
- sum({below}) filter (n > 1) as den, sum(mean) filter (n > 1) as m1, sum(mean * mean) filter (n > 1) as m2, sum(2 * (mean_sq - mean * mean) / (n - 1)) filter (n > 1) as e from g group by shell)
+s as (select {by} as shell, sum(n) as all_refl, count(*) as unique_refl, count(*) filter (n > 1) as ns, sum(dev) filter (n > 1) as a, sum(dev * sqrt(n / (n - 1.0))) filter (n > 1) as b, sum(dev * sqrt(1 / (n - 1.0))) filter (n > 1) as c,
+ sum({below}) filter (n > 1) as den, sum(mean) filter (n > 1) as m1, sum(mean * mean) filter (n > 1) as m2, sum(2 * (mean_sq - mean * mean) / (n - 1)) filter (n > 1) as e from g group by {by})
 select shell, cast(all_refl as bigint) as all_refl, unique_refl, ns as stats_refl, round(a / den, 6) as r_merge, round(b / den, 6) as r_meas, round(c / den, 6) as r_pim,
  round(((m2 - m1 * m1 / ns) / (ns - 1) - e / ns / 2) / ((m2 - m1 * m1 / ns) / (ns - 1) + e / ns / 2), 6) as cc_half from s"""
 
@@ -198,7 +198,7 @@ round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept, round(avg(l_
 def statistics(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
     y, x = "l_extendedprice", "l_quantity"
-    return g.agg(F.round(F.var_samp(x), 6).alias("var"), F.round(F.covar_samp(x, "l_tax"), 6).alias("cov"), F.round(F.corr(x, y), 6).alias("cc"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.avg(y) / F.avg(x), 4).alias("mean_ratio"))
+    return g.agg(F.round(F.var_samp(x), 6).alias("var"), F.round(F.covar_samp(x, "l_tax"), 6).alias("cov"), F.round(reflections.correlation(x, y), 6).alias("cc"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.avg(y) / F.avg(x), 4).alias("mean_ratio"))
 
 
 @query("""with c as (select 'l_quantity' as "column", count(l_quantity) as n, 100.0 * count(l_quantity) / count(*) as filled, min(l_quantity) as "min", max(l_quantity) as "max", round(avg(l_quantity), 6) as mean, round(stddev_pop(l_quantity), 6) as rms from lineitem
@@ -299,10 +299,10 @@ def scale_fit(spark, sf_dir):
     return rounded(reflections.scale_factors(li, "fo", "fc", F.col("l_discount")), "k", "b")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def check_parents(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return cif_query.check_parents(c, ["c_custkey"], o, ["o_custkey"])
+    d, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"))
+    return cif_query.check_parents(d, ["doc_id"], labels, ["of"]).select("doc_id")
 
 
 @query("select o_custkey, o_orderstatus, count(*) as n from orders group by 1, 2 having count(*) > 1")
@@ -331,8 +331,10 @@ def top_values(spark, sf_dir):
 
 @query("select lang, count(*) as n from documents where regexp_matches(text, '[0-9]{3}') group by 1")
 def grep_documents(spark, sf_dir):
+    """Documents as items of files by language, their texts as tags: the tag search by a regular expression."""
     d = table(spark, sf_dir, "documents")
-    return d.where(F.col("text").rlike("[0-9]{3}")).groupBy("lang").agg(F.count("*").alias("n"))
+    items = d.select(F.col("lang").alias("path"), F.col("doc_id").alias("block_idx"), F.lit("d").alias("block"), F.lit(None).cast("string").alias("frame"), F.lit(0).alias("item_idx"), F.lit("pair").alias("kind"), F.lit("").alias("category"), F.col("text").alias("tag"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("x").alias("value_raw"), F.lit(1).alias("line_no"))
+    return cif_query.grep(items, "[0-9]{3}", "regex", raw=True).groupBy(F.col("path").alias("lang")).agg(F.count("*").alias("n"))
 
 
 @query(f"select path, cast(block_idx as bigint) as block_idx, tag, value_raw from {_ITEMS} where regexp_matches(tag, '^_props\\.k.*$')")
@@ -347,9 +349,9 @@ def cif_values(spark, sf_dir):
     return raw.select("o_orderkey", values.cif_number(F.col("n")).alias("number"), values.cif_int(F.col("i")).alias("whole"), values.is_null(F.col("q")).alias("missing"), values.cif_string(F.col("s")).alias("word"))
 
 
-@query(f"select serial, chain, atom from {ATM} where chain in ('1', '3') and seqnum between 10 and 200 and resname not in ('STA') and atom = 'CA' and occ < 0.5 and b_iso > 50")
+@query(f"select serial, chain, atom from {ATM} where chain in ('1', '3') and seqnum between 10 and 200 and resname not in ('STA') and atom = 'CA' and occ < 0.5 and b_iso > 46")
 def selection_cid(spark, sf_dir):
-    return atoms(spark, sf_dir).where(selection.cid("/1/1,3/10-200(!STA)/CA;q<0.5;b>50")).select("serial", "chain", "atom")
+    return atoms(spark, sf_dir).where(selection.cid("/1/1,3/10-200(!STA)/CA;q<0.5;b>46")).select("serial", "chain", "atom")
 
 
 @query(f"select serial, chain, atom from {ATM} where chain = '2' and not (resname = 'PRO' or b_iso > 60) and atom in ('CA', 'C', 'N', 'O') and seqnum between 5 and 300")
@@ -431,9 +433,12 @@ def torsion_window(spark, sf_dir):
     return t.where("torsion is not null").select("serial", "torsion")
 
 
-@query("select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 100")
-def sorted_top(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(100)
+@query(f"select ah as h, ak as k, al as l, isym, row_number() over (order by ah, ak, al, isym) - 1 as place from (select distinct ah, ak, al, isym from ({_ASU}))")
+def sorted_reflections(spark, sf_dir):
+    """Reflections of the asymmetric unit in their order, by exact ranks over ranges."""
+    a = spacegroup(_P).to_asu(F.col("h"), F.col("k"), F.col("l"))
+    r = hkls(spark, sf_dir).select(a.alias("a")).select("a.h", "a.k", "a.l", "a.isym").distinct().withColumn("key", F.struct("h", "k", "l", "isym"))
+    return reflections.exact_ranks(r, "key").select("h", "k", "l", "isym", F.col("_rank").alias("place"))
 
 
 @query("""select hkl.h as h, hkl.k as k, hkl.l as l, round(sum(exp(-0.5 * (h * h / pow(38.0, 2) + k * k / pow(44.0, 2) + l * l / pow(52.0, 2))) * 6 * cos(2 * pi() * (h * fx + k * fy + l * fz))), 4) as re,
@@ -532,9 +537,12 @@ def tumbling_statistics(spark, sf_dir):
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "total", places=4)
 
 
-@query("select l_returnflag, l_linestatus, count(*) as n, round(avg(l_quantity), 6) as mean from lineitem group by rollup (l_returnflag, l_linestatus)")
-def shells_and_total(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+@query(_stats_sql("Y", "shell // 4"))
+def merge_stats_combined(spark, sf_dir):
+    """Sums of shells added up four at a time, then the statistics."""
+    sums = reflections.merging_sums(observations(spark, sf_dir), KEYS, "shell")
+    four = sums.groupBy(F.floor(F.col("shell") / 4).cast("int").alias("shell")).agg(*(F.sum(c).alias(c) for c in sums.columns if c != "shell"))
+    return rounded(reflections.merging_statistics(four).drop("cc_star"), "r_merge", "r_meas", "r_pim", "cc_half")
 
 
 @query(f"select label, count(*) as n, round(corr(x, y), 6) as cc, round(corr(rx, ry), 6) as rank_cc from (select label, x, y, rank() over (partition by label order by x) + (count(*) over (partition by label, x) - 1) / 2.0 as rx, rank() over (partition by label order by y) + (count(*) over (partition by label, y) - 1) / 2.0 as ry from {PTS}) group by 1")

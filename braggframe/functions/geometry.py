@@ -30,9 +30,10 @@ def dist2(a: Vec, b: Vec) -> Column:
 
 
 def angle(a: Vec, b: Vec, c: Vec) -> Column:
-    """The angle at b, in radians."""
+    """The angle at b, in radians; null where a place is."""
     u, v = minus(a, b), minus(c, b)
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / F.sqrt(dot(u, u) * dot(v, v)))))
+    cos = dot(u, v) / F.sqrt(dot(u, u) * dot(v, v))
+    return F.when(cos.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))  # greatest and least pass over nulls
 
 
 def dihedral(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:

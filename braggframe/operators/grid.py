@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cell import Cell
 from ..functions.symmetry import DEN, Group
+from ..storage import stored
 
 UVW = ["u", "v", "w"]
 
@@ -74,32 +75,24 @@ def islands(grid: DataFrame, cutoff: float, size: tuple[int, int, int], keys: li
 
 
 def graph_components(edges: DataFrame) -> DataFrame:
-    """(node, component): least labels spread over edges and are followed to their own label, so rounds grow with the logarithm of a path."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint() if _can_checkpoint(edges) else edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    """(node, component): least labels spread over edges and are followed to their own label, so rounds grow with the logarithm of a path.
+
+    Every round is a table in the shared folder, which cuts its lineage.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     last = None
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         low = label.join(near, label["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
         far = low.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        label = low.join(far, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"))
-        label = label.checkpoint() if _can_checkpoint(label) else label
+        label = stored(low.join(far, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component")), "labels")
         total = label.agg(F.sum(F.col("component").cast("decimal(38,0)")), F.count("*")).first()
         if total == last:
             return label
         last = total
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    """Whether the session has a checkpoint folder; one is set only where spark.checkpoint.dir is unset, as in tests."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braggframe-"))
-    return True
-
-
 def blobs(grid: DataFrame, cutoff: float, cell: Cell, size: tuple[int, int, int], min_points: int = 3) -> DataFrame:
     """Islands with volume, score (sum of values times the volume of a point), peak and its point, by falling score."""
     dv = cell.volume / (size[0] * size[1] * size[2])

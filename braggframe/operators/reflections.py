@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 from ..functions.cell import Cell
 from ..functions.symmetry import Group
 
@@ -105,9 +107,12 @@ def bin_limits(df: DataFrame, x: str, nbins: int, method: str = "equalcount") ->
 
 
 def exact_ranks(df: DataFrame, x: str) -> DataFrame:
-    """Adds _rank from 0 in the order of x: sort within ranges, then offsets from a row a range."""
+    """Adds _rank from 0 in the order of x: sort within ranges, then offsets from a row a range.
+
+    The ranges are stored, once: range bounds are sampled, and counts and rows read apart would belong to other ones.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, x).withColumn("_part", F.spark_partition_id())
+    ranged = stored(df.repartitionByRange(parts, x).withColumn("_part", F.spark_partition_id()), "ranges")
     placed = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(x)) - 1)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a range

@@ -4,9 +4,10 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from braggframe import catalog
+from braggframe import catalog, catalog_edits  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def sql():
 
 
 def plain(frame):
-    cell = lambda x: "null" if x is None or x != x else f"{float(x):.5g}" if isinstance(x, float) else str(x)
+    cell = lambda x: "null" if pd.isna(x) else f"{float(x):.5g}" if isinstance(x, float) else str(x)
     return sorted(tuple(cell(x) for x in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 

@@ -268,3 +268,19 @@ def test_restraints(spark):
     a = spark.createDataFrame([(1, "A", 1.5, 0.0, 0.0), (1, "B", 0.0, 0.0, 0.0), (1, "C", 0.0, 1.0, 0.0), (1, "D", -1.0, 1.0, 0.0)], "res_id int, name string, x double, y double, z double")
     z = {x.kind: x.rmsz for x in model.rmsz(chemistry.restraint_values(r, a), ["kind"]).collect()}
     assert z == {"bond": pytest.approx(1.0), "angle": pytest.approx(5.0), "torsion": pytest.approx(0.2)}
+
+
+def test_exact_ranks_keep_other_columns(spark):
+    """Ranks are those of the whole table whatever else it holds: without gaps, and without two rows of one rank."""
+    n = 60_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("x"), F.col("id").alias("other"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    got = reflections.exact_ranks(df, "x")
+    assert got.where("_rank = x").count() == n and got.columns == ["x", "other", "text", "_rank"]
+
+
+def test_no_angle_without_an_atom(spark):
+    from braggframe.functions.geometry import angle
+
+    v = lambda *x: tuple(F.lit(y).cast("double") for y in x)
+    row = spark.range(1).select(angle(v(1, 0, 0), v(0, 0, 0), v(0, 2, 0)).alias("a"), angle(v(1, 0, 0), v(0, 0, 0), v(None, 2, 0)).alias("b")).first()
+    assert abs(row.a - 1.5707963) < 1e-6 and row.b is None
