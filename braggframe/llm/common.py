@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from ..session import ship_package
+from ..storage import shared_folder as storage
 
 #: A side of a join is broadcast only below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
@@ -25,23 +26,6 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_fallback: dict[str, str] = {}
-
-
-def storage(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _fallback:
-        holder = tempfile.TemporaryDirectory(prefix="braggframe-")
-        atexit.register(holder.cleanup)
-        _fallback["dir"] = f"file://{holder.name}"
-    return _fallback["dir"]
-
-
 _made: list[str] = []
 
 
@@ -82,9 +66,24 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return back
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that is read again, kept on the executors' disks beside their shuffle files.
+
+    It creates no files in the shared folder. Its lineage is not cut: what a lost executor held is computed again, so this is for
+    plans of a few steps that read the same on every evaluation, not for loops.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def drop_stored(*frames: DataFrame) -> None:
+    """Removes stored tables and kept ones."""
     for df in frames:
-        remove(df.sparkSession, df.stored_at)
+        if hasattr(df, "stored_at"):
+            remove(df.sparkSession, df.stored_at)
+        else:
+            df.unpersist()
 
 
 def bounded_batches(spark: SparkSession) -> None:

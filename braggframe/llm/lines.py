@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_stored, ship_package, small, stored
+from .common import WORD, drop_stored, kept, ship_package, small, stored
 
 #: Edits (insertions, deletions, substitutions of code points) up to which two lines are near-duplicates.
 EDITS = 2
@@ -56,7 +56,7 @@ def _with_keys(lines: DataFrame, edits: int) -> DataFrame:
 def _in_blocks(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Index and probe rows of met, with the block of each key that they meet in: a crowded key's rows in several."""
     n = met.groupBy("key").agg(F.count("*").alias("p"), F.sum(F.col("indexed").cast("long")).alias("i")).where((F.col("p") > BLOCK) & (F.col("i") > 0))
-    crowded = stored(n.select("key", F.ceil(F.col("i") / BLOCK).cast("int").alias("_is"), F.ceil(F.col("p") / BLOCK).cast("int").alias("_ps")), "line-crowded")
+    crowded = stored(n.select("key", F.ceil(F.col("i") / BLOCK).cast("int").alias("_is"), F.ceil(F.col("p") / BLOCK).cast("int").alias("_ps")), "line-crowded", 1)
     rows = met.join(small(crowded, 16), "key", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_is", "_ps")})
     own = lambda of: F.pmod(F.xxhash64("g"), of).cast("int")
     all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -145,17 +145,18 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_length: int = 0) -> D
     lines = _lines(only)
     place = F.struct("doc_id", "at")
     firsts = stored(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.count("*").alias("n")), "line-firsts")
-    total = firsts.count()  # bounds the tables of one row a text
-    again = stored(firsts.where("n > 1").select("h", "g", "first"), "line-again", total)
+    total, n_lines = firsts.agg(F.count("*"), F.sum("n")).first()  # these bound the tables of one row a text, and a document
+    again = stored(firsts.where("n > 1").select("h", "g", "first"), "line-again", total or 0)
     # Of equal lines the first alone is indexed and probes; rows that share its place tie and are merged below.
     once = lines.where(F.col("length") >= min_length).join(small(again, 48), ["h", "g"], "left").where(F.col("first").isNull() | (F.col("first") == place))
     keyed = _with_keys(once, edits)
     # A segment that no other line shares finds nothing: only keys with two lines go on. One exchange by key.
     over = W.partitionBy("key")
     met = keyed.withColumns({"_lo": F.min("h").over(over), "_hi": F.max("h").over(over), "_any": F.max("indexed").over(over)}).where("_lo < _hi and _any").drop("_lo", "_hi", "_any")
-    met = stored(met.distinct(), "line-met", 4 * total)
-    wanted = stored(met.select("h", "g").distinct(), "line-wanted", total)
-    texts = stored(lines.join(small(wanted, 32), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line")).withColumn("bag", _bag(F.col("line"))), "line-texts", total)
+    met = kept(met.distinct())  # as many tasks as the exchange has partitions: no file for each
+    n_met = met.count()
+    wanted = stored(met.select("h", "g").distinct(), "line-wanted", total or 0)
+    texts = stored(lines.join(small(wanted, 32), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("line").alias("line")).withColumn("bag", _bag(F.col("line"))), "line-texts", total or 0)
     i, p = (side.join(texts.select("h", "g", "bag"), ["h", "g"]).alias(n) for side, n in zip(_in_blocks(met), "ip", strict=True))
     gap = F.col("p.length") - F.col("i.length")
     # An edit changes two counts of a bag by one at most, so bags further apart cannot be within the edits.
@@ -163,9 +164,9 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_length: int = 0) -> D
     other = (F.col("i.h") != F.col("p.h")) | (F.col("i.g") != F.col("p.g"))
     same = (F.col("i.key") == F.col("p.key")) & (F.col("i._ib") == F.col("p._ib")) & (F.col("i._pb") == F.col("p._pb"))
     pairs = i.join(p, same & (gap >= 0) & (gap <= edits) & (F.col("p.length") > edits) & other & (apart <= 2 * edits))
-    pairs = stored(pairs.select(F.col("i.h").alias("h"), F.col("i.g").alias("g"), F.col("p.h").alias("h2"), F.col("p.g").alias("g2")).distinct(), "line-pairs", 4 * total)
+    pairs = stored(pairs.select(F.col("i.h").alias("h"), F.col("i.g").alias("g"), F.col("p.h").alias("h2"), F.col("p.g").alias("g2")).distinct(), "line-pairs", n_met)
     both = pairs.join(texts.select("h", "g", F.col("line").alias("a")), ["h", "g"]).join(texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("b")), ["h2", "g2"])
-    near = stored(with_near(both, "a", "b", edits).select("h", "g", "h2", "g2", "near"), "line-near", 4 * total)  # a filter before the write would copy the automaton into itself
+    near = stored(with_near(both, "a", "b", edits).select("h", "g", "h2", "g2", "near"), "line-near", pairs.count())  # a filter before the write would copy the automaton into itself
     true = near.where("near").drop("near")
     either = true.union(true.select("h2", "g2", "h", "g"))
     first = firsts.select("h", "g", "first")
@@ -175,9 +176,9 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_length: int = 0) -> D
     least = tiny.agg(F.min("first").alias("_least"))  # one row
     earlier = earlier.union(tiny.join(F.broadcast(least), F.col("first") > F.col("_least")).select("h", "g")).distinct().withColumn("near", F.lit(True))
     # What can lose a line: texts that occur again, and those with an earlier neighbour.
-    judged = stored(firsts.join(earlier, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first", "near"), "line-judged", total)
+    judged = stored(firsts.join(earlier, ["h", "g"], "left").where("n > 1 or near").select("h", "g", "first", "near"), "line-judged", total or 0)
     hit = lines.drop("line", "length").join(small(judged, 64), ["h", "g"]).where((place != F.col("first")) | F.coalesce("near", F.lit(False)))
-    out = stored(hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("dropped")), "line-dropped")
+    out = stored(hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("dropped")), "line-out", n_lines or 0)
     drop_stored(again, met, pairs, wanted, texts, near, firsts, judged)
     return out
 
@@ -208,7 +209,7 @@ def deduped_lines(docs: DataFrame, edits: int = EDITS, min_length: int = 0) -> D
     words = F.size(F.filter(lines, lambda s: s.rlike(WORD)))
     # The runs of lines between the dropped ones.
     runs = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
-    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    left = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
     own = ("n_lines", "n_dropped")
     counts = (F.when(F.col("text").isNull(), 0).otherwise(words).cast("long").alias(own[0]), F.size(gone).cast("long").alias(own[1]))
-    return joined.select(*(kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in own), *counts)
+    return joined.select(*(left.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in own), *counts)

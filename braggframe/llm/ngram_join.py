@@ -110,7 +110,7 @@ def _prefixes(width: int, percent: int, late: np.ndarray) -> Callable[[Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, kept = [], []
+            out, rare = [], []
             for s in shingle_sets(column(batch, "text"), width):
                 p, early = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0, len(s)
                 if p and len(keys):
@@ -120,8 +120,8 @@ def _prefixes(width: int, percent: int, late: np.ndarray) -> Callable[[Iterator[
                         early = int((~hot).sum())
                         s = np.concatenate([s[~hot], s[hot][np.argsort(places[at[hot]])]])
                 out.append(s[:p])
-                kept.append(min(early, p))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), _lists(out), pa.array(kept, pa.int32())], ["doc_id", "prefix", "rare"])
+                rare.append(min(early, p))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), _lists(out), pa.array(rare, pa.int32())], ["doc_id", "prefix", "rare"])
 
     return run
 
@@ -225,14 +225,14 @@ def _opening(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, total: int, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between the queries (doc_id, grp) and the members (doc_id, grp, n) of the groups; one a chunk at most for each query. total: a bound of the documents."""
+    """Links (a, b) between the queries (doc_id, grp) and the members (doc_id, grp, n) of the groups; one a chunk at most for each query. total: how many documents there are."""
     weight = members.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("tokens") / CHUNK_TOKENS))
     n = queries.groupBy("grp").agg(F.count("*").alias("queries")).join(weight, "grp")
     n = n.select("grp", F.ceil(F.col("queries") / QUERIES).cast("int").alias("blocks"), F.least(chunks, F.col("members")).cast("int").alias("chunks"), (F.col("members") == 1).alias("alone"))
     m = members.join(n, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "blocks", F.when(F.col("alone"), 1).otherwise(0).alias("role"))
     q = queries.join(n, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int").alias("blocks"), F.lit(2).alias("role"))
-    rows = stored(m.unionByName(q), "ngram-rows")
+    rows = stored(m.unionByName(q), "ngram-rows", 8 * total)
     wanted = stored(rows.select("doc_id").distinct(), "ngram-wanted", total)
     # Texts travel rather than sets: they are smaller, and a set is made again in little time.
     some = texts.join(small(wanted, 16), "doc_id", "left_semi").join(small(rows, 40), "doc_id")
@@ -246,7 +246,7 @@ def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, total
     probe = unions.unionByName(lone).unionByName(asking).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id"))
     probed = stored(probe.mapInArrow(_probing(width, percent), _PROBED), "ngram-probed")
     lists, reached = ["docs", "sizes", "counts", "members"], probed.where("other is null")
-    asked = stored(reached.select(*place).distinct(), "ngram-asked")
+    asked = stored(reached.select(*place).distinct(), "ngram-asked", total)
     opened = matrix.drop("union").join(small(asked, 32), ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("long").alias("n"), null("array<int>").alias("steps"), *lists)
     kinds = dict(matrix.dtypes)
     finding = reached.select(*place, "doc_id", "n", "steps", *(null(kinds[c]).alias(c) for c in lists))
@@ -292,7 +292,7 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     stars = crowded.where("doc_id <> grp").groupBy("doc_id", "grp", "g_n").agg(F.count("*").alias("c")).where(F.col("c") >= BANDS_SHARED).drop("c")
     before = F.lag(F.struct("doc_id", "n")).over(W.partitionBy("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).orderBy("doc_id"))
     chains = crowded.withColumn("_b", before).where("_b is not null and doc_id <> _b.doc_id").select("doc_id", F.col("_b.doc_id").alias("grp"), F.col("_b.n").alias("g_n"))
-    stars = stored(stars.union(chains).distinct(), "ngram-stars", 2 * BANDS * total)
+    stars = stored(stars.union(chains).distinct(), "ngram-stars", 8 * total)
     near = _open_groups(texts, stars.select("doc_id", "grp"), stars.select(F.col("grp").alias("doc_id"), "grp", F.col("g_n").alias("n")).distinct(), total, width, percent)
     groups = components(near)
 
@@ -321,7 +321,7 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
     # Of one member, all tokens up to the last shared one are compared; the overlap is at most theirs and the rest.
     reach = F.col("c") + F.col("n") - F.col("last") - 1
     need = F.ceil((F.col("n") + F.col("n_min")) * percent / (100 + percent) - 1e-6)
-    queries = stored(pairs.where((F.col("of") > 1) | (reach >= need)).select("doc_id", "grp"), "ngram-queries")
+    queries = stored(pairs.where((F.col("of") > 1) | (reach >= need)).select("doc_id", "grp"), "ngram-queries", 8 * total)
     opened = labelled.select("doc_id", "grp", "n").join(queries.select("grp").distinct(), "grp")
     more = _open_groups(texts, queries, opened, total, width, percent)
 
