@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import bounded_batches, column, new_path, text_bytes
+from .common import bounded_batches, column, new_path, opened, text_bytes
 
 SIDE = 24
 UNIT = SIDE * SIDE
@@ -77,15 +78,11 @@ def features(payload: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};levels=" + ",".join(map(str, levels.tolist()))
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
-
-
 def _writing(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fs, root = _opened(folder)
+        fs, root = opened(folder)
         part, number, out = TaskContext.get().partitionId(), 0, None
         written: list[tuple[str, int]] = []
 
@@ -129,7 +126,7 @@ def write_archives(docs: DataFrame, folder: str) -> int:
     Archives appear under their final name only when complete.
     """
     bounded_batches(docs.sparkSession)
-    fs, root = _opened(folder)
+    fs, root = opened(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     done = rows.mapInArrow(_writing(folder), "archive string, members long").agg(F.sum("members")).first()
@@ -141,16 +138,15 @@ class _Range(InputPartition):
         self.path, self.first, self.last = path, first, last
 
 
-def read_member(fs: pafs.FileSystem, path: str, offset: int, size: int) -> bytes:
-    """The stored bytes of the member whose local header is at offset."""
-    with fs.open_input_file(path) as f:
-        f.seek(offset)
-        head = f.read(30)
-        if head[:4] != b"PK\x03\x04":
-            raise ValueError(f"no member at {offset} of {path}")
-        name, extra = struct.unpack("<HH", head[26:30])
-        f.seek(offset + 30 + name + extra)
-        data = f.read(size)
+def read_member(f: pa.NativeFile, path: str, offset: int, size: int) -> bytes:
+    """The stored bytes of the member whose local header is at offset of an open archive."""
+    f.seek(offset)
+    head = f.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise ValueError(f"no member at {offset} of {path}")
+    name, extra = struct.unpack("<HH", head[26:30])
+    f.seek(offset + 30 + name + extra)
+    data = f.read(size)
     if len(data) != size:
         raise OSError(f"{len(data)} of {size} bytes at {offset} of {path}")
     return data
@@ -162,34 +158,41 @@ class _Reader(DataSourceReader):
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batchBytes", BATCH_BYTES))
         self.retries = int(options.get("retries", 3))
+        self.pause = float(options.get("pause", 0.1))
 
     def partitions(self):
-        fs, root = _opened(self.path)
+        fs, root = opened(self.path)
         files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file and f.path.endswith(".zip"))
         return [_Range(path, at, min(size, at + self.range_bytes)) for path, size in files for at in range(0, size, self.range_bytes)] or [_Range("", 0, 0)]
 
     def read(self, partition):
-        fs, _ = _opened(self.path)
+        fs, _ = opened(self.path)
         rows, size = [], 0
         if not partition.path:
             return
         with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
             members = [(m.header_offset, m.file_size, m.CRC, m.filename) for m in z.infolist() if partition.first <= m.header_offset < partition.last]
+        f = None
         for offset, length, crc, name in members:
             for attempt in range(self.retries + 1):
                 try:
-                    data = read_member(fs, partition.path, offset, length)
+                    f = f or fs.open_input_file(partition.path)
+                    data = read_member(f, partition.path, offset, length)
                     if zlib.crc32(data) != crc:
                         raise OSError(f"wrong checksum at {offset} of {partition.path}")
                     break
                 except (OSError, ValueError):
+                    f = f and f.close()  # the next attempt opens the archive anew, after a pause
                     if attempt == self.retries:
                         raise
+                    time.sleep(self.pause * 2**attempt)
             rows.append((os.path.basename(partition.path), name, offset, data))
             size += length
             if size >= self.batch_bytes:
                 yield _batch(rows)
                 rows, size = [], 0
+        if f:
+            f.close()
         if rows:
             yield _batch(rows)
 
@@ -199,7 +202,7 @@ def _batch(rows: list[tuple[str, str, int, bytes]]) -> pa.RecordBatch:
 
 
 class MediaArchives(DataSource):
-    """spark.read.format("media_archives").load(folder): archive, member, at, media. Options: rangeBytes, batchBytes, retries."""
+    """spark.read.format("media_archives").load(folder): archive, member, at, media. Options: rangeBytes, batchBytes, retries, pause (seconds, doubled at each)."""
 
     @classmethod
     def name(cls):
@@ -233,8 +236,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores every text as an image in archives, reads the archives back and measures what the images hold.
 
-    A null or empty text is 576 bytes of padding. Rows that repeat are members each; a null doc_id stays null. An empty
-    table has no archive and gives no row.
+    A null or empty text is 576 bytes of padding. Rows that repeat are members each; a null doc_id stays null. A very long text is
+    one image, held whole by one task. Other columns are ignored, whatever their names. An empty table has no archive and
+    gives no row.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "media")

@@ -498,17 +498,36 @@ def test_chat(spark):
     assert chat.formatted_chats(df.where("false"), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-def test_packs_share_turns_once(spark):
-    rows = [(c, t, "user", x) for c in range(20) for t, x in enumerate(["common opening words", "common second turn", f"own turn {c}"])]
+@pytest.mark.parametrize("tokens", [1 << 16, 60])
+def test_packs_share_turns_once(spark, monkeypatch, tokens):
+    """Whether all fits one pack or packs are small: a shared turn is emitted once, and later packs refer to it."""
+    monkeypatch.setattr(chat, "PACK_TOKENS", tokens)
+    rows = [(c, t, "user" if t % 2 else "assistant", x) for c in range(20) for t, x in enumerate(["common opening words", f"second turn {c // 5}", f"own turn {c}", "and its end"])]
     paths = chat.conversation_paths(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    packs = chat.chat_packs(paths.coalesce(1), vocabulary("byte_bpe_50k.json")).collect()
-    nodes = [n for p in packs for n in p.nodes]
-    assert len(nodes) <= 20 + 2 * len(packs)
+    frame = chat.chat_packs(paths.coalesce(1), vocabulary("byte_bpe_50k.json")).coalesce(1).cache()
+    packs = frame.collect()
+    assert (len(packs) > 6) == (tokens == 60)
+    parts = len({p.part for p in packs})
+    assert 1 + 4 + 20 + 20 <= sum(len(p.nodes) for p in packs) <= 1 + 4 + 20 + 20 + 2 * (parts - 1)
     for p in packs:
         for n in p.nodes:
             before = sum(c.last - c.first for c in n.context)
             assert p.positions[n.first : n.last] == list(range(before, before + n.last - n.first))
-            assert all(c.last <= n.first for c in n.context)
+            assert all((c.pack, c.last) <= (p.pack, n.first) for c in n.context)
+            assert all(not (a.pack == b.pack and a.last == b.first) for a, b in zip(n.context, n.context[1:], strict=False))
+    read = {r.path: r.turns_sha256 for r in chat.read_packs(frame, vocabulary("byte_bpe_50k.json")).collect()}
+    by = defaultdict(list)
+    for c, _, role, text in rows:
+        by[c].append((role, text))
+    assert {c: read[path] for c, path in pairs_of(paths, "conv_id", "path")} == {c: said(x)[1] for c, x in by.items()}
+
+
+def test_a_long_conversation_has_one_interval(spark):
+    rows = [(1, t, "user", f"turn {t}") for t in range(10_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packs = chat.chat_packs(chat.conversation_paths(df), vocabulary("byte_bpe_50k.json")).select(F.explode("nodes").alias("n")).agg(F.count("*").alias("n"), F.max(F.size("n.context")).alias("c")).first()
+    assert packs.n == 10_000 and packs.c == 1
+    assert chat.formatted_chats(df, vocabulary("byte_bpe_50k.json")).first().n_turns == 10_000
 
 
 PAGES = "page_id long, url string, html string, path string, host string, text string"
@@ -616,6 +635,29 @@ def test_warc_payloads_come_back(spark, tmp_path):
     assert c.where("request.type <> 'request' or metadata.fields['page-id'] is null").count() == 0
 
 
+@pytest.mark.parametrize("compressed", [False, True])
+def test_warc_rolls_by_bytes(spark, tmp_path, monkeypatch, compressed):
+    """Files close by bytes whatever a page's size; a page of several files' size is one record. Members of gzip files stand alone."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "READ_BYTES", 3_000)
+    rng = random.Random(16)
+    pages = [(i, f"http://h.org/{i}", "".join(rng.choice("abcdefghé\r\n") for _ in range(rng.choice([0, 10, 3000, 90_000 if i == 7 else 500])))) for i in range(60)]
+    pages += [(100 + i, None, "\r\n\r\nWARC/1.1\r\n" * 3) for i in range(3)]
+    path = f"file://{tmp_path}/w"
+    assert warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path, compressed) == 3 * len(pages)
+    files = sorted((tmp_path / "w").glob("part-*.warc*"))
+    assert len(files) > 3 and not list((tmp_path / "w").glob("_held*"))
+    got = warc.captures(warc.read_records(spark, path, payloads=True))
+    assert got.count() == len(pages) and got.where("n_records <> 3 or not coalesce(response.digest_ok, true)").count() == 0
+    assert {r.p for r in got.where("response.type = 'response'").select(F.col("response.payload").alias("p")).collect()} == {p[2] for p in pages}
+
+
+def test_warc_of_a_large_page(spark):
+    page = "<p>" + "x" * (50 << 20)
+    got = warc.page_captures(spark.createDataFrame([(1, "http://h.org", page), (2, "http://h.org", "<p>y")], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.digest_ok) for r in got) == [(1, len(page), True), (2, 4, True)]
+
+
 def test_media(hard, empty):
     want = Counter()
     for i, t in pairs_of(hard, "doc_id", "text"):
@@ -629,6 +671,40 @@ def test_media(hard, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def test_media_against_plain_decoding(spark, docs, tmp_path):
+    """The archives read with zipfile, the images by the PNG rules alone, the features in plain Python."""
+    import zipfile
+
+    folder = tmp_path / "m"
+    media.write_archives(docs.limit(40), f"file://{folder}")
+    want = {}
+    for path in folder.glob("*.zip"):
+        with zipfile.ZipFile(path) as z:
+            for name in z.namelist():
+                image, at, data = z.read(name), 8, b""
+                while at < len(image):
+                    n = int.from_bytes(image[at : at + 4], "big")
+                    data += image[at + 8 : at + 8 + n] if image[at + 4 : at + 8] == b"IDAT" else b""
+                    assert int.from_bytes(image[at + 8 + n : at + 12 + n], "big") == zlib.crc32(image[at + 4 : at + 8 + n])
+                    at += 12 + n
+                width = int.from_bytes(image[16:20], "big")
+                raw = zlib.decompress(data)
+                samples = b"".join(raw[i + 1 : i + 1 + width] for i in range(0, len(raw), width + 1))
+                mean = sum(samples) / len(samples)
+                deviation = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+                levels = [sum(1 for x in samples if x >> 4 == k) * 1000 // len(samples) for k in range(16)]
+                want[int(name.removesuffix(".png"))] = (samples, f"mean={mean:.4f};std={deviation:.4f};levels=" + ",".join(map(str, levels)))
+    got = media.read_archives(spark, f"file://{folder}").mapInArrow(media._measured, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    texts = dict(pairs_of(docs, "doc_id", "text"))
+    rows = got.collect()
+    assert len(rows) == len(want) == 40
+    for r in rows:
+        samples, feature = want[r.doc_id]
+        data = texts[r.doc_id].encode()
+        assert samples == data + b"\xff" * (len(samples) - len(data)) and len(samples) % 576 == 0
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(data), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), feature)
+
+
 def test_media_ranges_cover_every_member_once(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/m"
     assert media.write_archives(docs, folder) == docs.count()
