@@ -756,25 +756,6 @@ def moving_superposition(spark, sf_dir):
     return rounded(structure.moving_superposition(pairs, 6.0), "rmsd")
 
 
-@query()
-def twin_laws(spark, sf_dir):
-    from .operators import lattice
-
-    rows = [(name, o.triplet("hkl")) for name, cell in (("tetragonal", Cell(5, 5, 7)), ("hexagonal", Cell(5, 5, 7, 90, 90, 120)), ("cubic", Cell(5, 5, 5))) for o in lattice.twin_laws(cell, spacegroup("P 1"))]
-    return spark.createDataFrame(rows, "lattice string, law string")
-
-
-@query()
-def spacegroups(spark, sf_dir):
-    from .functions.symmetry import SPACEGROUPS, crystal_system, laue_class, parse_hall
-
-    rows = []
-    for number, name, hall in SPACEGROUPS:
-        g = parse_hall(hall)
-        rows.append((number, name, hall, len(g.ops), len(g.centring), laue_class(g), crystal_system(number), g.centrosymmetric))
-    return spark.createDataFrame(rows, "number int, name string, hall string, n_ops int, n_centring int, laue string, system string, centrosymmetric boolean")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

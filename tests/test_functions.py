@@ -89,3 +89,31 @@ def test_hybrid36():
         assert values.from_hybrid36(values.hybrid36(n, 4)) == n
     assert values.hybrid36(10000, 4) == "A000" and values.hybrid36(99999, 5) == "99999"
     assert math.isfinite(1)
+
+
+def test_named_settings_have_the_order_of_their_point_group():
+    """Operations, centring vectors and inversion of every named setting against what its number and letter say."""
+    from braggframe.functions.symmetry import SPACEGROUPS, crystal_system, laue_class, parse_hall, spacegroup
+
+    ends = ((2, "triclinic"), (15, "monoclinic"), (74, "orthorhombic"), (142, "tetragonal"), (167, "trigonal"), (194, "hexagonal"), (230, "cubic"))
+    most = {"triclinic": 2, "monoclinic": 4, "orthorhombic": 8, "tetragonal": 16, "trigonal": 12, "hexagonal": 24, "cubic": 48}
+    for number, name, hall in SPACEGROUPS:
+        g = parse_hall(hall)
+        system = next(s for end, s in ends if number <= end)
+        assert crystal_system(number) == system and most[system] % len(g.sym_ops) == 0
+        if name[0] != "R":  # there the axes decide
+            assert len(g.centring) == {"P": 1, "A": 2, "B": 2, "C": 2, "I": 2, "F": 4}[name[0]]
+        assert len(g.ops) == len(g.sym_ops) * len(g.centring) and spacegroup(name).same_as(g)
+        same = next(o for o in g.sym_ops if o.triplet() == "x,y,z")
+        assert g.centrosymmetric == any(tuple(tuple(-x for x in row) for row in o.rot) == tuple(map(tuple, same.rot)) for o in g.sym_ops)
+        assert laue_class(g)
+
+
+def test_twin_laws_of_three_lattices():
+    from braggframe.functions.cell import Cell
+    from braggframe.functions.symmetry import spacegroup
+    from braggframe.operators import lattice
+
+    # The cosets of the group in the lattice's rotations, but the group's own: order / 1 - 1.
+    for cell, order in ((Cell(5, 5, 7), 8), (Cell(5, 5, 7, 90, 90, 120), 12), (Cell(5, 5, 5), 24), (Cell(5, 6, 7), 4), (Cell(5, 6, 7, 90, 100, 90), 2), (Cell(5, 6, 7, 80, 100, 95), 1)):
+        assert len(lattice.twin_laws(cell, spacegroup("P 1"))) == order - 1
