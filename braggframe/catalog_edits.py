@@ -212,13 +212,11 @@ def label_numbers(spark, sf_dir):
     return editing.label_numbers(p.select(F.col("p_partkey").cast("string").alias("chain"), cigar.alias("cigar")))
 
 
-@query(f"select serial, case when resname = 'PRO' then 'first' else 'other' end as note from {ATM} where chain = '2' and seqnum in (7, 12, 13) and ((resname = 'PRO' and atom = 'CA' and altloc = '') or (resname = 'ECO' and atom = 'N'))")
+@query(f"select a.serial as serial, b.serial as of from {ATM} a join {ATM} b using (chain, seqnum, icode, resname, atom) where b.occ > 0.7 and (b.altloc = '' or b.altloc = a.altloc)")
 def at_addresses(spark, sf_dir):
-    rows = [("2", n, "", *x) for n in (7, 12, 13) for x in (("PRO", "CA", "", "first"), ("ECO", "N", None, "other"))]
-    where = spark.createDataFrame(rows, "chain string, seqnum int, icode string, resname string, atom string, altloc string, note string")
     a = atoms(spark, sf_dir)
-    return editing.at_addresses(a, where.withColumn("altloc", F.when(F.col("note") == "first", "-").otherwise(F.col("altloc")))).select("serial", "note").unionByName(
-        editing.at_addresses(a.where("altloc = ''"), where.where("note = 'first'")).select("serial", "note"))
+    addresses = a.where("occ > 0.7").select("chain", "seqnum", "icode", "resname", "atom", "altloc", F.col("serial").alias("of"))
+    return editing.at_addresses(a, addresses).select("serial", "of")
 
 
 @query(f"select serial, case when chain = '1' and seqnum between 5 and 90 then 1 when chain = '2' and seqnum between 100 and 400 then 2 end as tls_group from {ATM}")
@@ -354,7 +352,7 @@ def grid_resampled(spark, sf_dir):
 # Chemistry.
 
 
-@query("select p_partkey, round(12.0107 * p_size + 14.0067 * (p_size % 7 + 1) + 15.9994, 4) as calculated from part where abs(12.0107 * p_size + 14.0067 * (p_size % 7 + 1) + 15.9994 - p_retailprice / 2) > 50")
+@query("select p_partkey, round(12.0107::double * p_size + 14.0067::double * (p_size % 7 + 1) + 15.9994::double, 4) as calculated from part where abs(12.0107 * p_size + 14.0067 * (p_size % 7 + 1) + 15.9994 - p_retailprice / 2) > 50")
 def formula_check(spark, sf_dir):
     e = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("C"), "p_size", F.lit(" N"), F.col("p_size") % 7 + 1, F.lit(" O")).alias("formula"), (F.col("p_retailprice") / 2).alias("weight"))
     return rounded(composite.formula_check(e, 50.0).select("p_partkey", "calculated"), "calculated", places=4)
@@ -380,19 +378,26 @@ def missing_atoms(spark, sf_dir):
     return chemistry.missing_atoms(expected, _named(spark, sf_dir)).select("res_id", "name")
 
 
-_BOND = f"(select a.res_id as res_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as value from {_NAMED} a join {_NAMED} b on a.res_id = b.res_id and a.name = 'N' and b.name = 'CA' where a.resname = 'PRO')"
+def _joined(spark, sf_dir) -> DataFrame:
+    """One residue a chain and name: every kind of atom once."""
+    a = atoms(spark, sf_dir)
+    return a.groupBy(F.concat_ws(":", "chain", "resname").alias("res_id"), "resname", F.col("atom").alias("name")).agg(*(F.min_by(c, "serial").alias(c) for c in "xyz"))
+
+
+_JOINED = f"(select chain || ':' || resname as res_id, resname, atom as name, min_by(x, serial) as x, min_by(y, serial) as y, min_by(z, serial) as z from {ATM} group by 1, 2, 3)"
+_BOND = f"(select a.res_id as res_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) as value from {_JOINED} a join {_JOINED} b on a.res_id = b.res_id and a.name = 'N' and b.name = 'CA' where a.resname = 'PRO')"
 
 
 @query(f"select res_id, round(value, 6) as value, round((value - 10) / 3, 6) as z from {_BOND}")
 def bond_instances(spark, sf_dir):
     bonds = spark.createDataFrame([("PRO", "N", "CA", 10.0, 3.0)], "comp_id string, a string, b string, ideal double, esd double")
-    b = topology.bond_instances(_named(spark, sf_dir), bonds)
+    b = topology.bond_instances(_joined(spark, sf_dir), bonds)
     return b.select("res_id", F.round("value", 6).alias("value"), F.round((F.col("value") - F.col("ideal")) / F.col("esd"), 6).alias("z"))
 
 
-@query(f"select res_id, 'bond' as kind, round(value, 6) as value from {_BOND} union all select a.res_id, 'angle', round(degrees(acos(((a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y) + (a.z - b.z) * (c.z - b.z)) / sqrt((pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) * (pow(c.x - b.x, 2) + pow(c.y - b.y, 2) + pow(c.z - b.z, 2))))), 4) from {_NAMED} a join {_NAMED} b using (res_id) join {_NAMED} c using (res_id) where a.name = 'N' and b.name = 'CA' and c.name = 'C' and a.resname = 'PRO'")
+@query(f"select res_id, 'bond' as kind, round(value, 6) as value from {_BOND} union all select a.res_id, 'angle', round(degrees(acos(((a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y) + (a.z - b.z) * (c.z - b.z)) / sqrt((pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) * (pow(c.x - b.x, 2) + pow(c.y - b.y, 2) + pow(c.z - b.z, 2))))), 4) from {_JOINED} a join {_JOINED} b using (res_id) join {_JOINED} c using (res_id) where a.name = 'N' and b.name = 'CA' and c.name = 'C' and a.resname = 'PRO'")
 def restraint_values(spark, sf_dir):
-    a = _named(spark, sf_dir)
+    a = _joined(spark, sf_dir)
     kinds = [("bond", "N", "CA", None, None, 10.0), ("angle", "N", "CA", "C", None, 90.0)]
     r = spark.createDataFrame(kinds, "kind string, atom1 string, atom2 string, atom3 string, atom4 string, ideal double").withColumn("period", F.lit(None).cast("int"))
     each = a.where("resname = 'PRO'").select("res_id").distinct().crossJoin(F.broadcast(r))  # two restraints a residue

@@ -79,7 +79,7 @@ def pdb_sequences(spark, sf_dir):
     return pdb_records.sequences_of(pdb_records.pdb_records(lines, "SEQRES")).select("chain", F.array_join("names", " ").alias("names"))
 
 
-@query("select p_partkey, case p_size % 5 when 0 then 26 when 1 then 6 when 2 then 34 when 3 then 92 end as number, case p_size % 5 when 0 then 55.845 when 1 then 12.0107 when 2 then 78.96 when 3 then 238.029 end as weight, case p_size % 5 when 0 then 4 when 1 then 2 when 2 then 4 when 3 then 7 end as element_row, case p_size % 5 when 0 then 8 when 1 then 14 when 2 then 16 when 3 then 3 end as element_group, case p_size % 5 when 0 then true when 1 then false when 2 then false when 3 then true end as metal from part")
+@query("select p_partkey, case p_size % 5 when 0 then 26 when 1 then 6 when 2 then 34 when 3 then 92 end as number, case p_size % 5 when 0 then 55.845::double when 1 then 12.0107 when 2 then 78.96 when 3 then 238.029 end::double as weight, case p_size % 5 when 0 then 4 when 1 then 2 when 2 then 4 when 3 then 7 end as element_row, case p_size % 5 when 0 then 8 when 1 then 14 when 2 then 16 when 3 then 3 end as element_group, case p_size % 5 when 0 then true when 1 then false when 2 then false when 3 then true end as metal from part")
 def element_facts(spark, sf_dir):
     s = F.get(F.array(*map(F.lit, ("Fe", "c", "SE", "U", "Xx"))), (F.col("p_size") % 5).cast("int"))
     p = table(spark, sf_dir, "part")
