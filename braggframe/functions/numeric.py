@@ -7,6 +7,8 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import small
+
 
 def _series(x: Column, coefficients: list[float]) -> Column:
     out = F.lit(coefficients[-1])
@@ -93,7 +95,7 @@ def interpolated_table(df, table, key: str, x: str, columns: list[str]):
     w = W.partitionBy(key).orderBy(x)
     spans = table.select(key, F.col(x).alias("_x0"), F.lead(x).over(w).alias("_x1"), *(F.col(c).alias(f"_{c}0") for c in columns), *(F.lead(c).over(w).alias(f"_{c}1") for c in columns)).where("_x1 is not null")
     spans = spans.withColumnRenamed(key, "_key")
-    spans = F.broadcast(spans) if spans.count() <= 200_000 else spans
+    spans = small(spans)
     j = df.join(spans, (df[key] == F.col("_key")) & (df[x] >= F.col("_x0")) & (df[x] < F.col("_x1")), "left")
     t = (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
     out = j.select(*df.columns, *((F.col(f"_{c}0") + t * (F.col(f"_{c}1") - F.col(f"_{c}0"))).alias(c) for c in columns))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import small
+
 NEG = -(10**9)
 
 
@@ -92,7 +94,7 @@ def sum_matches(a: str, b: str, cigar: str) -> float:
 
 def best_sequences(chains: DataFrame, sequences: DataFrame, **scoring: int) -> DataFrame:
     """For each chain (chain_id, seq) the sequence (seq_id, full) of the highest score. The sequences are the small side: those of one query file."""
-    pairs = chains.crossJoin(F.broadcast(sequences) if sequences.count() <= 10_000 else sequences)
+    pairs = chains.crossJoin(small(sequences.distinct()))
     scored = align_pairs(pairs, "full", "seq", **scoring)
     return scored.groupBy("chain_id").agg(F.max_by(F.struct("seq_id", "score", "identity"), F.struct("score", "identity")).alias("b")).select("chain_id", "b.*")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import cif_number, cif_string, glob_pattern, is_null
+from ..storage import small
 
 BLOCK = ["path", "block_idx", "block"]
 
@@ -130,7 +131,7 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def check_values(items: DataFrame, rules: DataFrame) -> DataFrame:
     """The first bad value of each column: unknown tags, types, enumerations and ranges (open ones, or equality at a point)."""
-    rule = F.broadcast(rules.withColumn("_tag", F.lower("tag")).drop("tag")) if rules.count() <= 50_000 else rules.withColumn("_tag", F.lower("tag")).drop("tag")
+    rule = small(rules.withColumn("_tag", F.lower("tag")).drop("tag"))
     j = items.where("value_raw is not null").withColumn("_tag", F.lower("tag")).join(rule.withColumn("_known", F.lit(True)), "_tag", "left")
     v, x = cif_string(F.col("value_raw")), cif_number(F.col("value_raw"))
     in_range = (F.col("low").isNull() | (x > F.col("low")) | ((F.col("low") == F.col("high")) & (x == F.col("low")))) & (F.col("high").isNull() | (x < F.col("high")) | ((F.col("low") == F.col("high")) & (x == F.col("low"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import small
 from .cif_query import BLOCK
 
 
@@ -73,7 +74,7 @@ def connection_lengths(connections: DataFrame, atoms: DataFrame, cell, group) ->
 def tls_groups(residues: DataFrame, ranges: DataFrame) -> DataFrame:
     """Adds tls_group from ranges (chain, first, last, tls_group): an interval join on the chain."""
     r = ranges.select(F.col("chain").alias("_chain"), "first", "last", "tls_group")
-    r = F.broadcast(r) if ranges.count() <= 100_000 else r
+    r = small(r)
     return residues.join(r, (residues["chain"] == F.col("_chain")) & residues["seqnum"].between(F.col("first"), F.col("last")), "left").drop("_chain", "first", "last")
 
 
@@ -122,7 +123,7 @@ def renamed_by_vote(atoms: DataFrame, aliases: DataFrame) -> DataFrame:
     new = kinds.join(aliases, (kinds["resname"] == aliases["resname"]) & (kinds["atom"] == aliases["new"]), "left_semi").groupBy("resname").agg(F.count("*").alias("_new"))
     vote = old.join(new, "resname", "left").where(F.col("_old") > F.coalesce("_new", F.lit(0))).select("resname")
     use = aliases.join(vote, "resname").select("resname", F.col("old").alias("atom"), F.col("new").alias("_to"))
-    return atoms.join(F.broadcast(use) if use.count() <= 100_000 else use, ["resname", "atom"], "left").withColumn("atom", F.coalesce("_to", "atom")).drop("_to").select(atoms.columns)
+    return atoms.join(small(use), ["resname", "atom"], "left").withColumn("atom", F.coalesce("_to", "atom")).drop("_to").select(atoms.columns)
 
 
 def good_size(n: int, factor: int = 1) -> int:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, dihedral, dist2
+from ..storage import small
 
 RESIDUE = ["model", "chain", "res_ord"]
 # Standard weights of the elements that biology uses most; others come with a table of their own.
@@ -143,7 +144,7 @@ def matthews(volume: Column, weight: Column, n_images: Column) -> dict[str, Colu
 
 def secondary_structure(residues: DataFrame, ranges: DataFrame) -> DataFrame:
     """Adds ss from ranges (chain, first, last, ss) of residue numbers: an interval join on the chain."""
-    r = F.broadcast(ranges.select(F.col("chain").alias("_chain"), "first", "last", "ss")) if ranges.count() <= 100_000 else ranges.select(F.col("chain").alias("_chain"), "first", "last", "ss")
+    r = small(ranges.select(F.col("chain").alias("_chain"), "first", "last", "ss"))
     return residues.join(r, (residues["chain"] == F.col("_chain")) & residues["seqnum"].between(F.col("first"), F.col("last")), "left").drop("_chain", "first", "last")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, dist2, minus
+from ..storage import small
 from .alignment import superpose
 from .model import table_lookup
 
@@ -55,7 +56,7 @@ def hydrogen_bonds(residues: DataFrame, max_ca: float = 9.0, best: int = 2) -> D
 
 def possible_links(pairs: DataFrame, known: DataFrame, bond_margin: float = 1.1, radius_margin: float = 1.3) -> DataFrame:
     """Contacts that may be bonds: known links (resname, atom, resname_2, atom_2, ideal, link) within a margin, else sums of covalent radii."""
-    k = F.broadcast(known) if known.count() <= 100_000 else known
+    k = small(known)
     j = pairs.join(k, ["resname", "atom", "resname_2", "atom_2"], "left")
     radii = covalent_radius(F.col("element")) + covalent_radius(F.col("element_2"))
     fits = F.when(F.col("ideal").isNotNull(), F.col("dist") <= F.col("ideal") * bond_margin).otherwise(F.col("dist") <= radii * radius_margin)
@@ -144,10 +145,12 @@ def subchains(atoms: DataFrame) -> DataFrame:
 
 
 def short_names(names: DataFrame, column: str, width: int = 3) -> DataFrame:
-    """Aliases of names longer than width: ~00, ~01 ... by rank; the names are a dimension of a few rows."""
+    """Aliases of names longer than width: ~00, ~01 ... by rank."""
+    from .reflections import exact_ranks
+
     long = names.select(column).distinct().where(F.length(column) > width)
-    n = F.row_number().over(W.orderBy(column)) - 1
-    return long.withColumn("alias", F.concat(F.lit("~"), F.lpad(n.cast("string"), width - 1, "0")))
+    n = F.col("_rank").cast("string")
+    return exact_ranks(long, column).select(column, F.concat(F.lit("~"), F.lpad(n, F.greatest(F.length(n), F.lit(width - 1)), F.lit("0"))).alias("alias"))
 
 
 def is_rotation(r: list[Column], tolerance: float = 1e-3) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle, dist2
+from ..storage import small
 
 
 def bond_instances(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def link_scores(pairs: DataFrame, links: DataFrame) -> DataFrame:
     The links are a library's few hundred rows, held against every pair.
     """
     side = lambda n: F.when(F.col(f"comp_{n}") == F.col(f"resname_{n}"), 2).when(F.col(f"comp_{n}").isNull() & (F.col(f"group_{n}") == F.col(f"resgroup_{n}")), 1).when(F.col(f"comp_{n}").isNull() & F.col(f"group_{n}").isNull(), 0)
-    j = pairs.join(F.broadcast(links) if links.count() <= 20_000 else links).withColumn("score", side(1) + side(2)).where("score is not null")
+    j = pairs.join(small(links)).withColumn("score", side(1) + side(2)).where("score is not null")
     return j.groupBy("pair_id").agg(F.max_by(F.struct("link", "score"), F.struct("score", "link")).alias("b")).select("pair_id", "b.*")
 
 

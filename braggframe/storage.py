@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only below this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 24 << 20
 
 _fallback: dict[str, str] = {}
 _made: list[str] = []
@@ -35,6 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df as the side of a join, broadcast if the plan's own bound of its bytes is within BROADCAST_BYTES.
+
+    The bound comes from file sizes and local rows and is never below what is read; a side that a filter makes small may so be
+    left to a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def _clear() -> None:
     spark = SparkSession.getActiveSession() if _made else None
     for path in _made if spark else ():
