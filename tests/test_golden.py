@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from braggframe.functions.symmetry import spacegroup
 from braggframe.operators import alignment, reflections
 
+# Twelve published observations (h, k, l, intensity, deviation).
 TWELVE = [
     (2, 0, 0, 915.6, 3.686), (0, 2, 0, 558.4, 3.093), (0, 0, 2, 630.1, 24.05), (2, 0, 0, 925.6, 3.686), (0, 2, 0, 258.4, 3.093), (0, 0, 2, 730.1, 24.05),
     (1, 1, 2, 23.95, 89.32), (1, 2, 1, 90.65, 7.407), (2, 1, 1, 59.81, 9.125), (1, 1, 2, 33.95, 89.32), (1, 2, 1, 90.65, 7.407), (2, 1, 1, 16.08, 22.15),
