@@ -38,19 +38,22 @@ def _with_keys(lines: DataFrame, edits: int) -> DataFrame:
     """
     parts = edits + 1
     cuts = [(gap, i, shift) for gap in range(edits + 1) for i in range(parts) for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)]
-    table = F.array(*(F.struct(F.lit(gap).alias("gap"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for gap, i, shift in cuts))
+    cut = lambda gap, i, shift, c: F.struct(gap.alias("gap"), i.alias("i"), shift.alias("shift"), c.alias("char"))
+    table = F.array(*(cut(F.lit(gap), F.lit(i), F.lit(shift), F.lit(None).cast("string")) for gap, i, shift in cuts))
+    if edits:  # short lines have their characters as keys besides, in the same explosion: the lines are read once
+        chars = F.array_distinct(F.filter(F.split("line", ""), lambda c: c != ""))
+        short = F.transform(chars, lambda c: cut(F.lit(0), F.lit(0), F.lit(0), c))
+        table = F.when(F.col("length") <= 2 * edits, F.concat(table, short)).otherwise(table)
     rows = lines.withColumn("_cut", F.explode(table)).withColumn("_of", F.col("length") - F.col("_cut.gap"))
     # Segments of _of / parts, the last ones a code point longer.
     size, short = F.floor(F.col("_of") / parts).cast("int"), parts - F.col("_of") % parts
     rows = rows.withColumn("_size", size + (F.col("_cut.i") >= short).cast("int")).withColumn("_start", F.col("_cut.i") * size + F.greatest(F.lit(0), F.col("_cut.i") - short) + 1 + F.col("_cut.shift"))
-    rows = rows.where((F.col("_of") >= parts) & (F.col("_start") >= 1) & (F.col("_start") + F.col("_size") <= F.col("length") + 1))
+    of_char = F.col("_cut.char").isNotNull()
+    rows = rows.where(of_char | ((F.col("_of") >= parts) & (F.col("_start") >= 1) & (F.col("_start") + F.col("_size") <= F.col("length") + 1)))
     key = F.xxhash64(F.substring("line", F.col("_start"), F.col("_size")), F.col("_cut.i"), F.col("_of"))
-    rows = rows.select("h", "g", "length", key.alias("key"), ((F.col("_cut.gap") == 0) & (F.col("_cut.shift") == 0)).alias("indexed"))
-    if not edits:
-        return rows
-    chars = F.array_distinct(F.filter(F.split("line", ""), lambda c: c != ""))
-    short = lines.where(F.col("length") <= 2 * edits).select("h", "g", "length", F.explode(chars).alias("_char"))
-    return rows.unionByName(short.select("h", "g", "length", F.xxhash64("_char").alias("key"), (F.col("length") <= edits).alias("indexed")))
+    key = F.when(of_char, F.xxhash64("_cut.char")).otherwise(key)
+    indexed = F.when(of_char, F.col("length") <= edits).otherwise((F.col("_cut.gap") == 0) & (F.col("_cut.shift") == 0))
+    return rows.select("h", "g", "length", key.alias("key"), indexed.alias("indexed"))
 
 
 def _in_blocks(met: DataFrame) -> tuple[DataFrame, DataFrame]:
