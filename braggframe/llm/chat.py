@@ -183,16 +183,18 @@ def read_packs(packs: DataFrame, tokenizer: str) -> DataFrame:
         held: dict[int, dict[int, tuple]] = {}  # of a pack, turns by their first token: the last one's end, and what is read
         now = None
         for batch in batches:
-            for pack in batch.to_pylist():
+            tokens, masks = column(batch, "ids"), column(batch, "loss")
+            for i, pack in enumerate(batch.drop_columns(["ids", "loss"]).to_pylist()):
                 if pack["part"] != now:
                     held, now = {}, pack["part"]
-                ids, loss, nodes, number, rows = pack["ids"], pack["loss"], pack["nodes"], pack["pack"], []
+                ids, loss = np.asarray(tokens[i].values), np.asarray(masks[i].values)
+                nodes, number, rows = pack["nodes"], pack["pack"], []
                 own: dict[int, tuple] = {}
                 for n in nodes:
                     first, last = n["first"], n["last"]
                     some = ids[first:last]
-                    role, _, text = turns.decode(some[1 : some.index(turns.end)]).partition("\n")
-                    masked = unescape(turns.decode([x for x, y in zip(some, loss[first:last], strict=True) if y]))
+                    role, _, text = turns.decode(some[1 : int(np.argmax(some == turns.end))].tolist()).partition("\n")
+                    masked = unescape(turns.decode(some[loss[first:last].astype(bool)].tolist()))
                     own[first] = (last, (unescape_role(role), unescape(text), masked, len(START) + len(role) + 1 + len(text) + len(END) + 1))
 
                 def said(spans: list[dict]) -> Iterator[tuple]:
@@ -223,7 +225,7 @@ def read_packs(packs: DataFrame, tokenizer: str) -> DataFrame:
                 names = ["path", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(c, pa.string() if c in ("path", "turns_sha256", "loss_sha256") else pa.int64()) for c in names]))
 
-    ordered = packs.repartition("part").sortWithinPartitions("part", "pack")
+    ordered = packs.drop("positions").repartition("part").sortWithinPartitions("part", "pack")
     return ordered.mapInArrow(run, "path string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
