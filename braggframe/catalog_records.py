@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _GRID, CELL, PTS, _grid, _loops, points, query, rounded, table
 from .functions import elements
+from .functions.values import hybrid36_text
 from .operators import displacement, spatial
 from .sources import pdb_records
 
@@ -54,7 +55,7 @@ def pdb_database_references(spark, sf_dir):
 
 @query(f"select a, b, count(*) as n from (select least(p_partkey, p_partkey + s)::int as a, greatest(p_partkey, p_partkey + s)::int as b from {_PART} union all select least(p_partkey, s)::int, greatest(p_partkey, s)::int from {_PART}) group by 1, 2")
 def pdb_bonds(spark, sf_dir):
-    lines = _spelt(_part(spark, sf_dir).where("p_partkey + s < 100000"), "CONECT%5d%5d%5d", "p_partkey", F.col("p_partkey") + F.col("s"), "s")
+    lines = _spelt(_part(spark, sf_dir), "CONECT%5d%5s%5d", "p_partkey", hybrid36_text(F.col("p_partkey") + F.col("s"), 5), "s")
     return pdb_records.bonded_pairs(pdb_records.pdb_records(lines, "CONECT")).select("a", "b", "n")
 
 

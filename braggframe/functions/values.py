@@ -79,3 +79,18 @@ def from_hybrid36(text: str) -> int:
     base = 10 * 36 ** (width - 1)
     value = int(s, 36) - base + 10**width
     return value if s[0].isupper() else value + 26 * 36 ** (width - 1)
+
+
+def hybrid36_text(number: Column, width: int) -> Column:
+    """hybrid36 of a column, without the blanks before it; null beyond the last letters."""
+    number, start, span = number.cast("long"), 10 * 36 ** (width - 1), 26 * 36 ** (width - 1)
+    letters = lambda n: F.conv((n + start).cast("string"), 10, 36)
+    upper, lower = number - 10**width, number - 10**width - span
+    return F.when(upper < 0, number.cast("string")).when(lower < 0, letters(upper)).when(lower < span, F.lower(letters(lower)))
+
+
+def hybrid36_int(text: Column, width: int) -> Column:
+    """from_hybrid36 of a column of trimmed fields; null for what is no number."""
+    lower = F.when(text.rlike("^[a-z]"), 26 * 36 ** (width - 1)).otherwise(0)
+    wide = F.conv(text, 36, 10).cast("long") - 10 * 36 ** (width - 1) + 10**width + lower
+    return F.when(text.rlike(f"^([A-Z][0-9A-Z]{{{width - 1}}}|[a-z][0-9a-z]{{{width - 1}}})$"), wide.cast("int")).otherwise(text.try_cast("int"))

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Columns of the PDB format, version 3.3: name, first and last column, kind (s: text, i: int, f: double).
+from ..functions.values import hybrid36_int
+
+# Columns of the PDB format, version 3.3: name, first and last column, kind (s: text, i: int, h: int in hybrid-36, f: double).
 LAYOUTS = {
-    "ANISOU": "serial 7 11 i, atom 13 16 s, altloc 17 17 s, resname 18 20 s, chain 21 22 s, seqnum 23 26 i, icode 27 27 s, u11 29 35 i, u22 36 42 i, u33 43 49 i, u12 50 56 i, u13 57 63 i, u23 64 70 i",
-    "SSBOND": "number 8 10 i, resname_1 12 14 s, chain_1 15 16 s, seqnum_1 18 21 i, icode_1 22 22 s, resname_2 26 28 s, chain_2 29 30 s, seqnum_2 32 35 i, icode_2 36 36 s, symop_1 60 65 s, symop_2 67 72 s, length 74 78 f",
-    "LINK": "atom_1 13 16 s, altloc_1 17 17 s, resname_1 18 20 s, chain_1 21 22 s, seqnum_1 23 26 i, icode_1 27 27 s, atom_2 43 46 s, altloc_2 47 47 s, resname_2 48 50 s, chain_2 51 52 s, seqnum_2 53 56 i, icode_2 57 57 s, symop_1 60 65 s, symop_2 67 72 s, length 74 78 f",
-    "CISPEP": "number 8 10 i, resname_1 12 14 s, chain_1 15 16 s, seqnum_1 18 21 i, icode_1 22 22 s, resname_2 26 28 s, chain_2 29 30 s, seqnum_2 32 35 i, icode_2 36 36 s, model 44 46 i, angle 54 59 f",
-    "MODRES": "entry 8 11 s, resname 13 15 s, chain 16 17 s, seqnum 19 22 i, icode 23 23 s, standard 25 27 s, details 30 70 s",
-    "DBREF": "entry 8 11 s, chain 12 13 s, first 15 18 i, first_icode 19 19 s, last 21 24 i, last_icode 25 25 s, database 27 32 s, accession 34 41 s, code 43 54 s, db_first 56 60 i, db_last 63 67 i",
-    "HELIX": "number 8 10 i, name 12 14 s, chain 19 20 s, first 22 25 i, first_icode 26 26 s, end_chain 31 32 s, last 34 37 i, last_icode 38 38 s, kind 39 40 i, length 72 76 i",
-    "SHEET": "strand 8 10 i, name 12 14 s, strands 15 16 i, chain 21 22 s, first 23 26 i, first_icode 27 27 s, end_chain 32 33 s, last 34 37 i, last_icode 38 38 s, sense 39 40 i",
+    "ANISOU": "serial 7 11 h, atom 13 16 s, altloc 17 17 s, resname 18 20 s, chain 21 22 s, seqnum 23 26 h, icode 27 27 s, u11 29 35 i, u22 36 42 i, u33 43 49 i, u12 50 56 i, u13 57 63 i, u23 64 70 i",
+    "SSBOND": "number 8 10 i, resname_1 12 14 s, chain_1 15 16 s, seqnum_1 18 21 h, icode_1 22 22 s, resname_2 26 28 s, chain_2 29 30 s, seqnum_2 32 35 h, icode_2 36 36 s, symop_1 60 65 s, symop_2 67 72 s, length 74 78 f",
+    "LINK": "atom_1 13 16 s, altloc_1 17 17 s, resname_1 18 20 s, chain_1 21 22 s, seqnum_1 23 26 h, icode_1 27 27 s, atom_2 43 46 s, altloc_2 47 47 s, resname_2 48 50 s, chain_2 51 52 s, seqnum_2 53 56 h, icode_2 57 57 s, symop_1 60 65 s, symop_2 67 72 s, length 74 78 f",
+    "CISPEP": "number 8 10 i, resname_1 12 14 s, chain_1 15 16 s, seqnum_1 18 21 h, icode_1 22 22 s, resname_2 26 28 s, chain_2 29 30 s, seqnum_2 32 35 h, icode_2 36 36 s, model 44 46 i, angle 54 59 f",
+    "MODRES": "entry 8 11 s, resname 13 15 s, chain 16 17 s, seqnum 19 22 h, icode 23 23 s, standard 25 27 s, details 30 70 s",
+    "DBREF": "entry 8 11 s, chain 12 13 s, first 15 18 h, first_icode 19 19 s, last 21 24 h, last_icode 25 25 s, database 27 32 s, accession 34 41 s, code 43 54 s, db_first 56 60 i, db_last 63 67 i",
+    "HELIX": "number 8 10 i, name 12 14 s, chain 19 20 s, first 22 25 h, first_icode 26 26 s, end_chain 31 32 s, last 34 37 h, last_icode 38 38 s, kind 39 40 i, length 72 76 i",
+    "SHEET": "strand 8 10 i, name 12 14 s, strands 15 16 i, chain 21 22 s, first 23 26 h, first_icode 27 27 s, end_chain 32 33 s, last 34 37 h, last_icode 38 38 s, sense 39 40 i",
     "SEQRES": "line 8 10 i, chain 11 12 s, count 14 17 i, residues 20 70 s",
     "MTRIX": "row 6 6 i, number 8 10 i, r1 11 20 f, r2 21 30 f, r3 31 40 f, t 46 55 f, given 60 60 s",
     "SCALE": "row 6 6 i, r1 11 20 f, r2 21 30 f, r3 31 40 f, t 46 55 f",
     "ORIGX": "row 6 6 i, r1 11 20 f, r2 21 30 f, r3 31 40 f, t 46 55 f",
-    "CONECT": "serial 7 11 i, bonded_1 12 16 i, bonded_2 17 21 i, bonded_3 22 26 i, bonded_4 27 31 i",
-    "TER": "serial 7 11 i, resname 18 20 s, chain 21 22 s, seqnum 23 26 i, icode 27 27 s",
+    "CONECT": "serial 7 11 h, bonded_1 12 16 h, bonded_2 17 21 h, bonded_3 22 26 h, bonded_4 27 31 h",
+    "TER": "serial 7 11 h, resname 18 20 s, chain 21 22 s, seqnum 23 26 h, icode 27 27 s",
 }
 _NUMBERED = ("MTRIX", "SCALE", "ORIGX")
 
@@ -31,6 +33,8 @@ def pdb_records(lines: DataFrame, kind: str) -> DataFrame:
 
     def field(first: str, last: str, of: str) -> Column:
         text = F.trim(F.substring(padded, int(first), int(last) - int(first) + 1))
+        if of == "h":
+            return hybrid36_int(text, int(last) - int(first) + 1)
         return text if of == "s" else text.try_cast("int" if of == "i" else "double")
 
     fields = [x.split() for x in LAYOUTS[kind].split(", ")]

@@ -29,3 +29,14 @@ def plain(frame):
 @pytest.mark.parametrize("name", [n for n in catalog.queries() if n in catalog.oracle_sql()])
 def test_query(spark, sql, name):
     assert plain(catalog.queries()[name](spark, SF).toPandas()) == plain(sql.sql(catalog.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", ["pdb_bonds", "pdb_tensors", "pdb_links"])
+def test_records_of_numbers_wider_than_their_columns(spark, tmp_path, name):
+    """Sequence numbers beyond 9999 and serial numbers beyond 99999 are spelt and read in hybrid-36."""
+    keys = [*range(9940, 10010), *range(19930, 20000), *range(99930, 100010)]
+    part = pd.DataFrame({"p_partkey": keys, "p_brand": [f"Brand#{k % 25}" for k in keys], "p_type": "LARGE", "p_size": pd.Series([k % 50 + 1 for k in keys], dtype="int32")})
+    part.to_parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    assert plain(catalog.queries()[name](spark, str(tmp_path)).toPandas()) == plain(c.sql(catalog.oracle_sql()[name]).df())

@@ -91,6 +91,17 @@ def test_hybrid36():
     assert math.isfinite(1)
 
 
+def test_hybrid36_columns(spark):
+    for width in (4, 5):
+        span = 26 * 36 ** (width - 1)
+        numbers = [-7, 0, 10**width - 1, 10**width, 10**width + 48, 10**width + span - 1, 10**width + span, 10**width + 2 * span - 1]
+        df = spark.createDataFrame([(n,) for n in numbers], "n int").select("n", values.hybrid36_text(F.col("n"), width).alias("t"))
+        got = df.select("n", "t", values.hybrid36_int(F.col("t"), width).alias("back")).collect()
+        assert [r.back for r in got] == numbers and [r.t for r in got[1:]] == [values.hybrid36(n, width).strip() for n in numbers[1:]]
+    odd = spark.createDataFrame([("",), ("A00",), ("A00-",), ("x",), ("12",)], "t string")
+    assert [r[0] for r in odd.select(values.hybrid36_int(F.col("t"), 4)).collect()] == [None, None, None, None, 12]
+
+
 def test_named_settings_have_the_order_of_their_point_group():
     """Operations, centring vectors and inversion of every named setting against what its number and letter say."""
     from braggframe.functions.symmetry import SPACEGROUPS, crystal_system, laue_class, parse_hall, spacegroup
