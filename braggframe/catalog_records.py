@@ -49,7 +49,7 @@ def pdb_cis_peptides(spark, sf_dir):
 
 @query(f"select chain, n as first, n + s as last, 'UNP' as database, 'P' || p_partkey as accession, s as db_first from {_PART}")
 def pdb_database_references(spark, sf_dir):
-    lines = _spelt(_part(spark, sf_dir).where("n + s < 9999"), "DBREF  1ABC %1s %4d  %4d  UNP    %-8s CODE         %5d  %5d", "chain", "n", F.col("n") + F.col("s"), F.concat(F.lit("P"), "p_partkey"), "s", "s")
+    lines = _spelt(_part(spark, sf_dir), "DBREF  1ABC %1s %4d  %4s  UNP    %-8s CODE         %5d  %5d", "chain", "n", hybrid36_text(F.col("n") + F.col("s"), 4), F.concat(F.lit("P"), "p_partkey"), "s", "s")
     return pdb_records.pdb_records(lines, "DBREF").select("chain", "first", "last", "database", "accession", "db_first")
 
 

@@ -31,7 +31,7 @@ def test_query(spark, sql, name):
     assert plain(catalog.queries()[name](spark, SF).toPandas()) == plain(sql.sql(catalog.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", ["pdb_bonds", "pdb_tensors", "pdb_links"])
+@pytest.mark.parametrize("name", ["pdb_database_references", "pdb_bonds", "pdb_tensors", "pdb_links"])
 def test_records_of_numbers_wider_than_their_columns(spark, tmp_path, name):
     """Sequence numbers beyond 9999 and serial numbers beyond 99999 are spelt and read in hybrid-36."""
     keys = [*range(9940, 10010), *range(19930, 20000), *range(99930, 100010)]
