@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import os
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,22 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Of a query that has written its rows, the shuffle files can go at once; else they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[str] = []
 
 
+@contextlib.contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def _clear() -> None:
     """Removes this application's tables from the shared folder when the driver ends."""
     spark = SparkSession.getActiveSession() if _made else None
@@ -62,8 +76,21 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    return _stored_at(path, [df])
+
+
+def stored_rounds(rounds: Iterable[DataFrame], name: str) -> DataFrame:
+    """stored, of the union of one frame or more that are computed and written one after the other: one round's shuffle is on the disks at a time."""
+    rounds = list(rounds)
+    return _stored_at(new_path(rounds[0].sparkSession, name), rounds)
+
+
+def _stored_at(path: str, rounds: list[DataFrame]) -> DataFrame:
+    spark = rounds[0].sparkSession
+    with _shuffles_released(spark):
+        for df in rounds:
+            df.write.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    back = spark.read.schema(rounds[0].schema).parquet(path)
     back.stored_at = path
     return back
 
@@ -88,6 +115,15 @@ def drop_stored(*frames: DataFrame) -> None:
             df.unpersist()
 
 
+def collected(spark: SparkSession) -> None:
+    """A collection of the driver's garbage at the end of a phase of many small queries.
+
+    The plans, broadcasts and metrics of these fill the heap, which the driver's JVM otherwise grows to its limit and does not give
+    back; shuffles and broadcasts of dead plans go from the executors, too.
+    """
+    spark._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small, so that long texts do not fill a worker's memory, and sends the package to the executors."""
     ship_package(spark)
@@ -100,6 +136,12 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def dealt_rounds(rows: DataFrame, row_bytes: int, keys: list[str]) -> list[Column]:
+    """Conditions that deal the keys of rows, a stored table, to as few rounds as leave each within BROADCAST_BYTES."""
+    n = -(-rows.count() * row_bytes // BROADCAST_BYTES)
+    return [F.pmod(F.xxhash64(*keys), F.lit(n)) == i for i in range(n)] if n > 1 else [F.lit(True)]
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
@@ -150,6 +192,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if (mark := count(current)) == before:
             break
         before = mark
+    collected(current.sparkSession)
     return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -25,11 +25,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, components, drop_stored, small, stored
+from .common import bounded_batches, collected, column, components, dealt_rounds, drop_stored, small, stored, stored_rounds
 from .shingles import bands_of, shingle_sets
 
 BANDS, ROWS, BANDS_SHARED = 12, 4, 2
@@ -233,18 +233,27 @@ def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, total
     m = members.join(n, "grp").select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), "blocks", F.when(F.col("alone"), 1).otherwise(0).alias("role"))
     q = queries.join(n, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int").alias("blocks"), F.lit(2).alias("role"))
     rows = stored(m.unionByName(q), "ngram-rows", 8 * total)
-    wanted = stored(rows.select("doc_id").distinct(), "ngram-wanted", total)
-    # Texts travel rather than sets: they are smaller, and a set is made again in little time.
-    some = texts.join(small(wanted, 16), "doc_id", "left_semi").join(small(rows, 40), "doc_id")
+    # Texts travel rather than sets: they are smaller, and a set is made again in little time. They go to their places in rounds
+    # whose rows are broadcast, so no text is shuffled to meet its rows, and only a round's texts are on the disks.
     place, null = ["grp", "chunk", "block"], lambda t: F.lit(None).cast(t)
     each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    held = some.where("role = 0").select("doc_id", "grp", "chunk", "blocks", "text")
-    matrix = stored(held.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(_unions(width), _MATRIX), "ngram-matrix")
-    unions = matrix.select("grp", "chunk", each_block, null("long").alias("doc_id"), null("long").alias("only"), null("string").alias("text"), "union")
-    lone = some.where("role = 1").select("grp", "chunk", each_block, null("long").alias("doc_id"), F.col("doc_id").alias("only"), "text", null("array<long>").alias("union"))
-    asking = some.where("role = 2").select("grp", "chunk", F.col("blocks").alias("block"), "doc_id", null("long").alias("only"), "text", null("array<long>").alias("union"))
-    probe = unions.unionByName(lone).unionByName(asking).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id"))
-    probed = stored(probe.mapInArrow(_probing(width, percent), _PROBED), "ngram-probed")
+    held = rows.where("role = 0").select("doc_id", "grp", "chunk", "blocks")
+    lone = rows.where("role = 1").select("grp", "chunk", each_block, null("long").alias("doc_id"), F.col("doc_id").alias("only"))
+    asking = lone.unionByName(rows.where("role = 2").select("grp", "chunk", F.col("blocks").alias("block"), "doc_id", null("long").alias("only")))
+    asking = asking.withColumn("_text_of", F.coalesce("doc_id", "only"))
+    named = texts.select(F.col("doc_id").alias("_text_of"), "text")
+
+    def matrix_of(part: Column) -> DataFrame:
+        some = texts.join(F.broadcast(held.where(part)), "doc_id").select("doc_id", "grp", "chunk", "blocks", "text")
+        return some.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").mapInArrow(_unions(width), _MATRIX)
+
+    def probed_of(part: Column) -> DataFrame:
+        unions = matrix.select("grp", "chunk", each_block, null("long").alias("doc_id"), null("long").alias("only"), null("string").alias("text"), "union").where(part)
+        some = named.join(F.broadcast(asking.where(part)), "_text_of").select(*place, "doc_id", "only", "text", null("array<long>").alias("union"))
+        return unions.unionByName(some).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id")).mapInArrow(_probing(width, percent), _PROBED)
+
+    matrix = stored_rounds(map(matrix_of, dealt_rounds(held, 40, ["grp", "chunk"])), "ngram-matrix")
+    probed = stored_rounds(map(probed_of, dealt_rounds(asking, 40, place)), "ngram-probed")
     lists, reached = ["docs", "sizes", "counts", "members"], probed.where("other is null")
     asked = stored(reached.select(*place).distinct(), "ngram-asked", total)
     opened = matrix.drop("union").join(small(asked, 32), ["grp", "chunk"]).select(*place, null("long").alias("doc_id"), null("long").alias("n"), null("array<int>").alias("steps"), *lists)
@@ -253,7 +262,8 @@ def _open_groups(texts: DataFrame, queries: DataFrame, members: DataFrame, total
     links = opened.unionByName(finding).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("doc_id")).mapInArrow(_opening(percent), "a long, b long")
     links = links.unionByName(probed.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     out = stored(links.distinct(), "ngram-links")
-    drop_stored(rows, wanted, matrix, probed, asked)
+    drop_stored(rows, matrix, probed, asked)
+    collected(out.sparkSession)
     return out
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braggframe.llm import bytebpe, chat, html_text, lines, media, ngram_join, packing, pieces, quality, sharding, warc
+from braggframe.llm import bytebpe, chat, common, html_text, lines, media, ngram_join, packing, pieces, quality, sharding, warc
 from braggframe.llm.common import components
 from braggframe.llm.queries import references, vocabulary
 
@@ -106,6 +106,37 @@ def test_ngram_join_opens_chunks_of_large_groups(spark, monkeypatch):
     assert dict(pairs_of(ngram_join.ngram_groups(df), "doc_id", "component_id")) == linked(rows)
 
 
+def test_ngram_join_in_rounds(spark, monkeypatch):
+    """Where its rows are beyond a broadcast, the texts still go to their places alone, round by round, and the links are the same."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(40):
+        words = random_text(rng, 40).split(" ")
+        rows += [(3 * i + k, " ".join(words[: 40 - k] + [f"w{i}x{k}"])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    written, plans, stored_at = Counter(), [], common._stored_at
+
+    def noted(path, rounds):
+        name = path.rsplit("/", 1)[1][:-33]
+        written[name] = max(written[name], len(rounds))
+        plans.extend(f._jdf.queryExecution().executedPlan().toString() for f in rounds if name in ("ngram-matrix", "ngram-probed"))
+        return stored_at(path, rounds)
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1200)
+    monkeypatch.setattr(common, "_stored_at", noted)
+    assert dict(pairs_of(ngram_join.ngram_groups(df), "doc_id", "component_id")) == linked(rows)
+    assert written["ngram-probed"] > 1 and not any("SortMergeJoin" in plan for plan in plans)
+
+
+def test_stored_rounds_leave_no_shuffle_files(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 7)
+    status = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before = status.size()
+    got = common.stored_rounds([df.repartition("k"), df.repartition(3, "id")], "rounds")
+    assert status.size() <= before and got.count() == 2000
+    common.drop_stored(got)
+
+
 def test_shingles_of_long_texts_and_words(monkeypatch):
     """Sliced or whole, with words of any length: as many shingles as the text has, and the same ones."""
     from braggframe.llm import shingles as made
