@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braggframe.llm import lines, ngram_join, packing, quality
-from braggframe.llm.common import WORD, small, stored
+from braggframe.llm.common import WORD, collected, small, stored
 from braggframe.llm.queries import CAPACITY, END_ID, references, vocabulary
 
 
@@ -98,4 +98,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        collected(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
