@@ -15,17 +15,22 @@ from .operators import displacement, spatial
 from .sources import pdb_records
 
 
-def _spelt(df: DataFrame, pattern: str, *columns) -> DataFrame:
-    """Lines of a file, a row each."""
-    return df.select(F.lit("f").alias("path"), F.monotonically_increasing_id().alias("line_no"), F.format_string(pattern, *columns).alias("line"))
+def _spelt(df: DataFrame, pattern: str, *columns, path=None) -> DataFrame:
+    """Lines of a file, or of those that path names, a row each."""
+    return df.select((F.lit("f") if path is None else path).alias("path"), F.monotonically_increasing_id().alias("line_no"), F.format_string(pattern, *columns).alias("line"))
 
 
-def _part(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 100000")  # the columns of the format hold five digits
+def _parts(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
     return p.withColumns({"chain": F.substring("p_brand", -1, 1), "res": F.upper(F.substring("p_type", 1, 3)), "n": (F.col("p_partkey") % 9999).cast("int"), "s": F.col("p_size").cast("int")})
 
 
-_PART = "(select *, right(p_brand, 1) as chain, upper(substr(p_type, 1, 3)) as res, cast(p_partkey % 9999 as int) as n, cast(p_size as int) as s from part where p_partkey < 100000)"
+def _part(spark, sf_dir) -> DataFrame:
+    return _parts(spark, sf_dir).where("p_partkey < 100000")  # the columns of the format hold five digits
+
+
+_PARTS = "(select *, right(p_brand, 1) as chain, upper(substr(p_type, 1, 3)) as res, cast(p_partkey % 9999 as int) as n, cast(p_size as int) as s from part)"
+_PART = _PARTS.replace("from part", "from part where p_partkey < 100000")
 
 
 @query(f"select p_partkey::int as serial, 'CA' as atom, res as resname, chain, n as seqnum, s * 10 as u11, s * 20 as u22, s * 30 as u33, -s as u12, s as u13, 0 as u23 from {_PART}")
@@ -53,10 +58,20 @@ def pdb_database_references(spark, sf_dir):
     return pdb_records.pdb_records(lines, "DBREF").select("chain", "first", "last", "database", "accession", "db_first")
 
 
-@query(f"select a, b, count(*) as n from (select least(p_partkey, p_partkey + s)::int as a, greatest(p_partkey, p_partkey + s)::int as b from {_PART} union all select least(p_partkey, s)::int, greatest(p_partkey, s)::int from {_PART}) group by 1, 2")
+_BLOCK = 40_000_000  # five columns of hybrid-36 hold the serial numbers of two blocks
+
+
+@query(f"select a, b, count(*) as n from (select least(p_partkey, p_partkey + s)::int as a, greatest(p_partkey, p_partkey + s)::int as b from {_PARTS} union all select least(p_partkey, s)::int, greatest(p_partkey, s)::int from {_PARTS}) group by 1, 2")
 def pdb_bonds(spark, sf_dir):
-    lines = _spelt(_part(spark, sf_dir), "CONECT%5d%5s%5d", "p_partkey", hybrid36_text(F.col("p_partkey") + F.col("s"), 5), "s")
-    return pdb_records.bonded_pairs(pdb_records.pdb_records(lines, "CONECT")).select("a", "b", "n")
+    """Atoms are numbered by blocks. A file has the bonds within a block or between two, its name the first numbers of both; serial numbers of the other block follow those of the first."""
+    k, a, b = F.col("p_partkey").cast("long"), F.col("a"), F.col("b")
+    bonds = _parts(spark, sf_dir).select(F.inline(F.array(*(F.struct(F.least(k, x).alias("a"), F.greatest(k, x).alias("b")) for x in (k + F.col("s"), F.col("s").cast("long"))))))
+    at_a, at_b = (F.pmod(x, F.lit(_BLOCK)) for x in (a, b))
+    behind = F.when(a - at_a < b - at_b, _BLOCK).otherwise(0)
+    lines = _spelt(bonds, "CONECT%5s%5s", hybrid36_text(at_a, 5), hybrid36_text(at_b + behind, 5), path=F.concat_ws("_", a - at_a, b - at_b))
+    start = lambda i: F.split("path", "_")[i].cast("long")
+    second = F.when(b < _BLOCK, start(0)).otherwise(start(1) - _BLOCK)
+    return pdb_records.bonded_pairs(pdb_records.pdb_records(lines, "CONECT")).select((a + start(0)).cast("int").alias("a"), (b + second).cast("int").alias("b"), "n")
 
 
 @query("""select label, serial, round(x * 0.5 - y + 1.25, 5) as x, round(y + 0.125, 5) as y, round(z - 2, 5) as z from (select label, serial, x, y, z from """ + PTS + """) where label is not null""")

@@ -1,5 +1,6 @@
 """Every query of the catalog that has SQL against it in DuckDB, on the smallest tables; test_catalog_brute.py holds the others."""
 
+import collections
 import glob
 import os
 
@@ -40,3 +41,22 @@ def test_records_of_numbers_wider_than_their_columns(spark, tmp_path, name):
     c = duckdb.connect()
     c.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
     assert plain(catalog.queries()[name](spark, str(tmp_path)).toPandas()) == plain(c.sql(catalog.oracle_sql()[name]).df())
+
+
+def wide_part(folder):
+    """Keys beyond what the columns of PDB records hold, up to those of 32 bits; some twice."""
+    keys = [0, 1, 99999, *range(99990, 100020), 1199999, *range(9999990, 10000010), *range(39999960, 40000020), 79999990, 87440031, 87440032, *range(119999980, 120000010), 2**31 - 99, 2**31 - 60]
+    part = pd.DataFrame({"p_partkey": keys, "p_brand": [f"Brand#{k % 25}" for k in keys], "p_type": "LARGE", "p_size": pd.Series([i % 50 + 1 for i in range(len(keys))], dtype="int32")})
+    part.to_parquet(f"{folder}/part.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view part as select * from '{folder}/part.parquet'")
+    return part, c
+
+
+def test_bonds_of_the_whole_table(spark, tmp_path):
+    """Every part has its two bonds, by the SQL too."""
+    part, c = wide_part(tmp_path)
+    got = catalog.queries()["pdb_bonds"](spark, str(tmp_path))
+    want = collections.Counter(tuple(sorted((k, x))) for k, s in zip(part.p_partkey.tolist(), part.p_size.tolist(), strict=True) for x in (k + s, s))
+    assert {(r.a, r.b): r.n for r in got.collect()} == want and dict(got.dtypes) == {"a": "int", "b": "int", "n": "bigint"}
+    assert plain(got.toPandas()) == plain(c.sql(catalog.oracle_sql()["pdb_bonds"]).df())
