@@ -93,4 +93,4 @@ def hybrid36_int(text: Column, width: int) -> Column:
     """from_hybrid36 of a column of trimmed fields; null for what is no number."""
     lower = F.when(text.rlike("^[a-z]"), 26 * 36 ** (width - 1)).otherwise(0)
     wide = F.conv(text, 36, 10).cast("long") - 10 * 36 ** (width - 1) + 10**width + lower
-    return F.when(text.rlike(f"^([A-Z][0-9A-Z]{{{width - 1}}}|[a-z][0-9a-z]{{{width - 1}}})$"), wide.cast("int")).otherwise(text.try_cast("int"))
+    return F.when(text.rlike(f"^([A-Z][0-9A-Z]{{{width - 1}}}|[a-z][0-9a-z]{{{width - 1}}})$"), wide.cast("int")).otherwise(F.when(text != "", text).try_cast("int"))  # a failing cast costs an exception

@@ -35,7 +35,7 @@ def pdb_records(lines: DataFrame, kind: str) -> DataFrame:
         text = F.trim(F.substring(padded, int(first), int(last) - int(first) + 1))
         if of == "h":
             return hybrid36_int(text, int(last) - int(first) + 1)
-        return text if of == "s" else text.try_cast("int" if of == "i" else "double")
+        return text if of == "s" else F.when(text != "", text).try_cast("int" if of == "i" else "double")
 
     fields = [x.split() for x in LAYOUTS[kind].split(", ")]
     name = F.substring(padded, 1, 5) == kind if kind in _NUMBERED else F.rtrim(F.substring(padded, 1, 6)) == kind
