@@ -52,10 +52,17 @@ def pdb_cis_peptides(spark, sf_dir):
     return pdb_records.pdb_records(lines, "CISPEP").select("number", "resname_1", "chain_1", "seqnum_1", "resname_2", "model", "angle")
 
 
-@query(f"select chain, n as first, n + s as last, 'UNP' as database, 'P' || p_partkey as accession, s as db_first from {_PART}")
+@query(f"select chain, n as first, n + s as last, 'UNP' as database, 'P' || p_partkey as accession, s as db_first from {_PARTS}")
 def pdb_database_references(spark, sf_dir):
-    lines = _spelt(_part(spark, sf_dir), "DBREF  1ABC %1s %4d  %4s  UNP    %-8s CODE         %5d  %5d", "chain", "n", hybrid36_text(F.col("n") + F.col("s"), 4), F.concat(F.lit("P"), "p_partkey"), "s", "s")
-    return pdb_records.pdb_records(lines, "DBREF").select("chain", "first", "last", "database", "accession", "db_first")
+    """Accession codes beyond eight letters, and numbers beyond five digits, take two lines."""
+    s, blank = F.col("s"), lambda x: F.coalesce(x, F.lit(""))
+    chain, accession = blank(F.col("chain")), blank(F.concat(F.lit("P"), "p_partkey"))
+    ends = chain, blank(F.col("n").cast("string")), blank(hybrid36_text(F.col("n") + s, 4))
+    one = F.format_string("DBREF  1ABC %1s %4s  %4s  UNP    %-8s CODE         %5d  %5d", *ends, accession, s, s)
+    two = F.format_string("DBREF1 1ABC %1s %4s  %4s  UNP                  CODE", *ends), F.format_string("DBREF2 1ABC %1s     %-22s     %10d  %10d", chain, accession, s, s)
+    wide = (F.length(accession) > 8) | ~s.between(-9999, 99999)
+    lines = _spelt(_parts(spark, sf_dir).select(F.explode(F.when(wide, F.array(*two)).otherwise(F.array(one))).alias("line")), "%s", "line")
+    return pdb_records.database_references(lines).select(F.nullif("chain", F.lit("")).alias("chain"), "first", "last", "database", F.nullif("accession", F.lit("")).alias("accession"), "db_first")
 
 
 _BLOCK = 40_000_000  # five columns of hybrid-36 hold the serial numbers of two blocks

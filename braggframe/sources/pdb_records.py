@@ -15,6 +15,8 @@ LAYOUTS = {
     "CISPEP": "number 8 10 i, resname_1 12 14 s, chain_1 15 16 s, seqnum_1 18 21 h, icode_1 22 22 s, resname_2 26 28 s, chain_2 29 30 s, seqnum_2 32 35 h, icode_2 36 36 s, model 44 46 i, angle 54 59 f",
     "MODRES": "entry 8 11 s, resname 13 15 s, chain 16 17 s, seqnum 19 22 h, icode 23 23 s, standard 25 27 s, details 30 70 s",
     "DBREF": "entry 8 11 s, chain 12 13 s, first 15 18 h, first_icode 19 19 s, last 21 24 h, last_icode 25 25 s, database 27 32 s, accession 34 41 s, code 43 54 s, db_first 56 60 i, db_last 63 67 i",
+    "DBREF1": "entry 8 11 s, chain 12 13 s, first 15 18 h, first_icode 19 19 s, last 21 24 h, last_icode 25 25 s, database 27 32 s, code 48 67 s",
+    "DBREF2": "accession 19 40 s, db_first 46 55 i, db_last 58 67 i",
     "HELIX": "number 8 10 i, name 12 14 s, chain 19 20 s, first 22 25 h, first_icode 26 26 s, end_chain 31 32 s, last 34 37 h, last_icode 38 38 s, kind 39 40 i, length 72 76 i",
     "SHEET": "strand 8 10 i, name 12 14 s, strands 15 16 i, chain 21 22 s, first 23 26 h, first_icode 27 27 s, end_chain 32 33 s, last 34 37 h, last_icode 38 38 s, sense 39 40 i",
     "SEQRES": "line 8 10 i, chain 11 12 s, count 14 17 i, residues 20 70 s",
@@ -27,9 +29,8 @@ LAYOUTS = {
 _NUMBERED = ("MTRIX", "SCALE", "ORIGX")
 
 
-def pdb_records(lines: DataFrame, kind: str) -> DataFrame:
-    """The records of one kind in lines (path, line_no, line): path, line_no and the record's fields. Blank numbers are null, blank texts empty."""
-    padded = F.rpad("line", 80, " ")
+def _fields(kind: str, line: str | Column = "line") -> list[Column]:
+    padded = F.rpad(line, 80, " ")
 
     def field(first: str, last: str, of: str) -> Column:
         text = F.trim(F.substring(padded, int(first), int(last) - int(first) + 1))
@@ -37,9 +38,25 @@ def pdb_records(lines: DataFrame, kind: str) -> DataFrame:
             return hybrid36_int(text, int(last) - int(first) + 1)
         return text if of == "s" else F.when(text != "", text).try_cast("int" if of == "i" else "double")
 
-    fields = [x.split() for x in LAYOUTS[kind].split(", ")]
+    return [field(*x).alias(n) for n, *x in (x.split() for x in LAYOUTS[kind].split(", "))]
+
+
+def pdb_records(lines: DataFrame, kind: str) -> DataFrame:
+    """The records of one kind in lines (path, line_no, line): path, line_no and the record's fields. Blank numbers are null, blank texts empty."""
+    padded = F.rpad("line", 80, " ")
     name = F.substring(padded, 1, 5) == kind if kind in _NUMBERED else F.rtrim(F.substring(padded, 1, 6)) == kind
-    return lines.where(name).select("path", "line_no", *(field(*x).alias(n) for n, *x in fields))
+    return lines.where(name).select("path", "line_no", *_fields(kind))
+
+
+def database_references(lines: DataFrame) -> DataFrame:
+    """The records DBREF, and those of two lines, DBREF1 and DBREF2, which hold longer accession codes and numbers: path, line_no and the fields of DBREF."""
+    short = pdb_records(lines, "DBREF")
+    name = F.substring("line", 1, 6)
+    at = F.col("line_no") - F.when(name == "DBREF2", 1).otherwise(0)
+    of = lambda kind: F.max(F.when(name == kind, F.col("line"))).alias(kind)
+    pairs = lines.where(name.isin("DBREF1", "DBREF2")).groupBy("path", at.alias("line_no")).agg(of("DBREF1"), of("DBREF2")).where("DBREF1 is not null")
+    long = pairs.select("path", "line_no", *_fields("DBREF1", "DBREF1"), *_fields("DBREF2", F.coalesce("DBREF2", F.lit(""))))
+    return short.unionByName(long.select(short.columns))
 
 
 def with_aniso(atoms: DataFrame, anisou: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from braggframe import catalog, catalog_edits, catalog_records  # noqa: F401
+from braggframe.sources import pdb_records
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,18 @@ def test_bonds_of_the_whole_table(spark, tmp_path):
     want = collections.Counter(tuple(sorted((k, x))) for k, s in zip(part.p_partkey.tolist(), part.p_size.tolist(), strict=True) for x in (k + s, s))
     assert {(r.a, r.b): r.n for r in got.collect()} == want and dict(got.dtypes) == {"a": "int", "b": "int", "n": "bigint"}
     assert plain(got.toPandas()) == plain(c.sql(catalog.oracle_sql()["pdb_bonds"]).df())
+
+
+def test_database_references_of_the_whole_table(spark, tmp_path):
+    """Every part has its row, with accession codes of ten letters too."""
+    part, c = wide_part(tmp_path)
+    got = catalog.queries()["pdb_database_references"](spark, str(tmp_path))
+    want = sorted((f"P{k}", k % 9999, k % 9999 + s, s) for k, s in zip(part.p_partkey.tolist(), part.p_size.tolist(), strict=True))
+    assert sorted((r.accession, r.first, r.last, r.db_first) for r in got.collect()) == want
+    assert plain(got.toPandas()) == plain(c.sql(catalog.oracle_sql()["pdb_database_references"]).df())
+
+
+def test_database_references_of_two_lines(spark):
+    text = ["DBREF  2JHQ A    1   226  UNP    Q9KPK8   UNG_VIBCH        1    226", "DBREF1 1ABC A   61   322  GB                   AE017221", "DBREF2 1ABC A     46197919                      1534489     1537377", "DBREF1 1ABC B    1    20  GB                   X", "TER"]
+    got = pdb_records.database_references(spark.createDataFrame([("f", i, x) for i, x in enumerate(text)], "path string, line_no long, line string")).orderBy("line_no").collect()
+    assert [(r.line_no, r.chain, r.first, r.last, r.database, r.accession, r.code, r.db_first, r.db_last) for r in got] == [(0, "A", 1, 226, "UNP", "Q9KPK8", "UNG_VIBCH", 1, 226), (1, "A", 61, 322, "GB", "46197919", "AE017221", 1534489, 1537377), (3, "B", 1, 20, "GB", "", "X", None, None)]
